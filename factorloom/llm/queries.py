@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_knn, quality_rules, simhash, toxicity, warc
+from . import bpe, fingerprints, html_wrappers, mixing, quality_knn, quality_rules, secrets, simhash, toxicity, warc
 from .common import table
 
 
@@ -30,10 +31,24 @@ def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.classify(docs, quality_knn.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_wrappers.main_text(pages, html_wrappers.wrappers(pages))
+
+
 def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(spark)).where("is_secret")
+    return found.select("doc_id", "start", "length", F.sha2(F.encode("secret", "utf-8"), 256).alias("secret_sha256"), F.round("score", 6).alias("score"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_quality_knn, op5_pareto_mix, op8_simhash, op9_warc, op10_toxicity)
+    f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_quality_knn, op4_html_wrappers, op5_pareto_mix, op6_fingerprints, op7_secrets, op8_simhash, op9_warc, op10_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {}

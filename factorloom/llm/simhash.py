@@ -39,20 +39,23 @@ SEED = 42
 TREE = 4096
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    words = (text or "").encode("utf-8", "replace").lower().split()
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every run of ``shingle`` words joined by spaces, repeats included; of all words if there are fewer."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     h = xxhash.xxh64_intdigest
     n = len(words)
+    line = b" ".join(words)
     if n <= shingle:
-        hashes = [h(b" ".join(words), SEED)]
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-        starts = np.concatenate(([0], ends[: n - shingle])).tolist()
-        hashes = [h(line[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    return majority(np.array(hashes, np.uint64))
+        return np.array([h(line, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+    starts = np.concatenate(([0], ends[: n - shingle])).tolist()
+    return np.array([h(line[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    return majority(shingle_hashes(words, shingle)) if words else 0
 
 
 def majority(hashes: np.ndarray) -> int:
