@@ -120,19 +120,24 @@ def _solve(df, name: str, n: int):
     """Columns of the solution of the n rows of [coefficients, right side] in the array column ``name``."""
     singular = F.lit(False)
     for p in range(n):
-        m = F.col(f"{name}{p}" if p else name)
-        rest = F.slice(m, p + 1, n - p)
-        size = F.transform(rest, lambda row, p=p: F.abs(row[p]))
-        best = (F.array_position(size, F.array_max(size)) - 1 + p).cast("int")
-        df = df.withColumns({f"{name}_b{p}": F.coalesce(best, F.lit(p))})
-        best = F.col(f"{name}_b{p}")
-        ok = F.abs(F.get(m, best)[p]) > TINY
-        row = F.transform(F.get(m, best), lambda v, m=m, best=best, p=p, ok=ok: F.when(ok, guarded_div(v, F.get(m, best)[p])).otherwise(0.0))
-        df = df.withColumns({f"{name}_r{p}": row, f"{name}_s{p}": ~F.coalesce(ok, F.lit(False))})
-        pivot = F.col(f"{name}_r{p}")
+        df = _eliminate(df, name, n, p)
         singular = singular | F.col(f"{name}_s{p}")
-        # the pivot's row moves to place p; the row that was there takes its place; all others lose column p
-        swapped = F.transform(m, lambda r, i, m=m, best=best, p=p: F.when(i == best, m[p]).otherwise(r))
-        df = df.withColumn(f"{name}{p + 1}", F.transform(swapped, lambda r, i, p=p, pivot=pivot: F.when(i == p, pivot).otherwise(F.zip_with(r, pivot, lambda a, b: a - r[p] * b))))
     last = F.col(f"{name}{n}")
     return df, [F.when(singular, F.lit(0.0)).otherwise(last[k][n]) for k in range(n)]
+
+
+def _eliminate(df, name: str, n: int, p: int):
+    """One step: the row with the largest entry in column p is scaled, moves to place p, and clears that column elsewhere."""
+    m = F.col(f"{name}{p}" if p else name)
+    size = F.transform(F.slice(m, p + 1, n - p), lambda row: F.abs(row[p]))
+    best = F.coalesce((F.array_position(size, F.array_max(size)) - 1 + p).cast("int"), F.lit(p))
+    df = df.withColumn(f"{name}_b{p}", best)
+    best = F.col(f"{name}_b{p}")
+    largest = F.get(m, best)[p]
+    ok = F.coalesce(F.abs(largest) > TINY, F.lit(False))
+    row = F.transform(F.get(m, best), lambda v: F.when(ok, guarded_div(v, largest)).otherwise(0.0))
+    df = df.withColumns({f"{name}_r{p}": row, f"{name}_s{p}": ~ok})
+    pivot = F.col(f"{name}_r{p}")
+    swapped = F.transform(m, lambda r, i: F.when(i == best, m[p]).otherwise(r))
+    cleared = F.transform(swapped, lambda r, i: F.when(i == p, pivot).otherwise(F.zip_with(r, pivot, lambda a, b: a - r[p] * b)))
+    return df.withColumn(f"{name}{p + 1}", cleared)
