@@ -13,7 +13,10 @@ TINY = 1e-12
 class CrossSection:
     def __init__(self, ts: str = "ts"):
         self.ts = ts
-        self.all = Window.partitionBy(ts)
+
+    @property
+    def all(self):
+        return Window.partitionBy(self.ts)
 
     def rank(self, x: Column) -> Column:
         """Average rank from 0 to 1 among the valid; a single valid one has 0."""

@@ -23,7 +23,11 @@ class Rolling:
     """Builders for one instrument column and one order column."""
 
     def __init__(self, instrument: str = "instrument", ts: str = "ts"):
-        self.series = Window.partitionBy(instrument).orderBy(ts)
+        self.instrument, self.ts = instrument, ts
+
+    @property
+    def series(self):
+        return Window.partitionBy(self.instrument).orderBy(self.ts)
 
     def over(self, agg: Column, w: int) -> Column:
         return agg.over(self.series.rowsBetween(-(w - 1), 0))
