@@ -293,7 +293,8 @@ def read_text(nodes: list[Node], out: set[int], quiet: set[int]) -> str:
                 parts.append(" ")
                 continue
             if id(x) in out or x.out:
-                parts.append(" ")
+                if x.tag not in RAW:  # a script in the middle of a word doesn't part it
+                    parts.append(" ")
                 continue
             s = id(x) in quiet if x.tag not in INLINE else s
             block = x.tag not in INLINE
