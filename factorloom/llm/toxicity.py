@@ -11,7 +11,6 @@ read; with no confirmed document every score is 0.
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections import Counter
 
@@ -23,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import fold, labelled_sample, map_rows, only
 from .quality_knn import model_of
 
-SAMPLE = 20_000
+SAMPLE = 6_000
+BUCKETS = 1 << 22
 FEATURES = 3_000
 LEAST = 0.03
 STEMS = (4, 5, 6)
@@ -34,48 +34,55 @@ THRESHOLD = 0.7
 _words = regex.compile(r"\p{L}+").findall
 
 
+def features(word: str) -> list[int]:
+    """Buckets of a word and of its first letters: many languages inflect what follows."""
+    crc = zlib.crc32(word.encode("utf-8", "replace"))
+    return [crc & (BUCKETS - 1)] + [zlib.crc32(b"-" + word[:n].encode("utf-8", "replace")) & (BUCKETS - 1) for n in STEMS if len(word) >= n]
+
+
 def words(text: str | None) -> set[str]:
-    """The words of a text and, with a dash, their first letters: many languages inflect what follows."""
-    own = set(_words((text or "").lower()))
-    return own.union(*({w[:n] + "-" for w in own if len(w) >= n} for n in STEMS))
+    return set(_words((text or "").lower()))
+
+
+def buckets(text: str | None) -> np.ndarray:
+    return np.unique(np.array([f for w in words(text) for f in features(w)], np.int32))
 
 
-def weights_of_copies(sets: list[set[str]], marks: int = 3) -> np.ndarray:
-    """One over the number of texts with the same few smallest word hashes: near copies nearly always agree in them."""
-    keys = [tuple(heapq.nsmallest(marks, (zlib.crc32(w.encode()) for w in s))) for s in sets]
+def weights_of_copies(rows: list[np.ndarray], marks: int = 3) -> np.ndarray:
+    """One over the number of texts with the same few smallest buckets: near copies nearly always agree in them."""
+    keys = [r[:marks].tobytes() for r in rows]
     n = Counter(keys)
     return np.array([1.0 / n[k] if k else 1.0 for k in keys])
 
 
 class NonNegativePU:
-    """weights of words and a bias; ``prior``: the share of positives among unlabelled rows."""
+    """weights of buckets and a bias; ``prior``: the share of positives among unlabelled rows."""
 
     def __init__(self):
-        self.weights: dict[str, float] = {}
+        self.weights: dict[int, float] = {}
         self.bias = -20.0
+        self._of: dict[str, tuple[int, ...]] = {}
 
-    def fit(self, sets: list[set[str]], positive: np.ndarray, prior: float | None = None, steps: int = 600, rate: float = 0.1, l2: float = 1e-5) -> NonNegativePU:
-        """Rows with positive == 1 are confirmed; all rows together stand for unlabelled text (positives included)."""
-        n_p = int(positive.sum())
-        if not n_p:
+    def fit(self, rows: list[np.ndarray], positive: np.ndarray, prior: float | None = None, steps: int = 2500, rate: float = 0.1, l2: float = 1e-5) -> NonNegativePU:
+        """Rows (sorted buckets) with positive == 1 are confirmed; all rows together stand for unlabelled text."""
+        if not positive.sum():
             return self
         # near copies share a row's worth of weight, so that the words of one often copied text don't pass for toxic ones
-        share = weights_of_copies(sets)
-        prior = float(np.clip((share * positive).sum() / share.sum() if prior is None else prior, 1e-3, 0.9))
+        share = weights_of_copies(rows)
         mass_p, mass_u = float(share[positive > 0].sum()), float(share[positive == 0].sum())
-        n_in: dict[str, float] = {}
-        n_out: dict[str, float] = {}
-        for s, p, v in zip(sets, positive, share, strict=True):
-            n = n_in if p else n_out
-            for w in s:
-                n[w] = n.get(w, 0.0) + v
-        lift = {w: n / mass_p - n_out.get(w, 0.0) / max(mass_u, 1e-9) for w, n in n_in.items() if n >= max(min(2.0, mass_p), LEAST * mass_p) and n / mass_p >= LIFT * n_out.get(w, 0.0) / max(mass_u, 1e-9)}
-        chosen = sorted((w for w, v in lift.items() if v > 0), key=lambda w: (-lift[w], w))[:FEATURES]
-        at = {w: k for k, w in enumerate(chosen)}
-        # sparse rows: indices of the features that each text has
-        rows = [np.fromiter((at[w] for w in s if w in at), np.int64) for s in sets]
-        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        index = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        prior = float(np.clip((share * positive).sum() / share.sum() if prior is None else prior, 1e-3, 0.9))
+        n_in, n_out = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for r, p, v in zip(rows, positive, share, strict=True):
+            (n_in if p else n_out)[r] += v
+        lift = n_in / mass_p - n_out / max(mass_u, 1e-9)
+        lift[(n_in < max(min(2.0, mass_p), LEAST * mass_p)) | (n_in / mass_p < LIFT * n_out / max(mass_u, 1e-9))] = 0
+        chosen = np.argsort(-lift, kind="stable")[:FEATURES]
+        chosen = chosen[lift[chosen] > 0]
+        place = np.full(BUCKETS, -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
+        own = [p[p >= 0] for p in (place[r] for r in rows)]
+        owner = np.repeat(np.arange(len(own)), [len(r) for r in own])
+        index = np.concatenate(own).astype(np.int64) if own else np.zeros(0, np.int64)
         w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
         m1, m2 = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
         of_all, of_p = share / share.sum(), np.where(positive > 0, share, 0.0) / mass_p
@@ -93,25 +100,37 @@ class NonNegativePU:
             m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
             move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
             w, b = w - move[:-1], b - move[-1]
-        self.weights = {c: float(v) for c, v in zip(chosen, w, strict=True) if abs(v) > 1e-3}
+        self.weights = {int(c): float(v) for c, v in zip(chosen, w, strict=True) if abs(v) > 1e-3}
         self.bias = float(b)
         return self
 
+    def known(self, word: str) -> tuple[int, ...]:
+        """The word's buckets that have a weight; kept, as most words come again and have none."""
+        got = self._of.get(word)
+        if got is None:
+            if len(self._of) > 300_000:
+                self._of.clear()
+            got = self._of[word] = tuple(f for f in features(word) if f in self.weights)
+        return got
+
     def score(self, texts: list) -> np.ndarray:
-        known, get = self.weights.keys(), self.weights.get
-        z = self.bias + np.array([sum(sorted(map(get, words(t) & known))) for t in texts], float)
+        z = np.full(len(texts), self.bias)
+        for k, t in enumerate(texts):
+            found = {f for w in words(t) if (own := self.known(w)) for f in own}
+            z[k] += sum(sorted(self.weights[f] for f in found))
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, prior: float | None = None) -> NonNegativePU:
-    """At most ``limit`` labelled rows outside the held-out fold; their word sets come to the driver."""
+    """At most ``limit`` labelled rows outside the held-out fold; only their buckets, as bytes, come to the driver."""
     rows = labelled_sample(docs, labels, "toxic", limit, PARTS, HELD)
 
     def make():
-        return lambda b: {"y": b["y"], "words": [sorted(words(t)) for t in b["text"]]}
+        return lambda b: {"y": b["y"], "at": [buckets(t).tobytes() for t in b["text"]]}
 
-    got = sorted(map_rows(rows.select("text", "y"), "y int, words array<string>", make).toLocalIterator(prefetchPartitions=True), key=lambda r: (r["y"], r["words"]))
-    return NonNegativePU().fit([set(r["words"]) for r in got], np.array([r["y"] for r in got], float), prior)
+    got = map_rows(rows.select("text", "y"), "y int, at binary", make).toArrow()
+    pairs = sorted(zip(got.column("y").to_pylist(), got.column("at").to_pylist(), strict=True))
+    return NonNegativePU().fit([np.frombuffer(a, np.int32) for _, a in pairs], np.array([y for y, _ in pairs], float), prior)
 
 
 def classify(docs: DataFrame, model: NonNegativePU, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
