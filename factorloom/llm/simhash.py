@@ -6,8 +6,9 @@ blocks, so each fingerprint enters four shards, one a block. A shard is one BK-t
 distance to the parent); a search follows only the edges whose key is within the radius of the distance at hand. Trees of
 all shards of a task are built and searched together, level by level, in numpy.
 
-A shard of more than TREE fingerprints is dealt anew by all but three of sixteen 4-bit blocks (560 keys): any pair within
-the radius agrees in one of these keys too, and 12 free bits allow no more than 4,096 fingerprints a tree. No shard tree
+The members of a shard over TREE fingerprints are dealt anew by three of six blocks (20 keys of 32 bits), and if that isn't
+enough by thirteen of sixteen (560 keys): any pair within the radius agrees in one of these keys too, and the last ones
+leave 12 free bits, so no more than 4,096 fingerprints a tree. No shard tree
 is broadcast: the set of distinct fingerprints grows with the input, so the trees are built where the shuffle puts the
 shards.
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, only, pinned
@@ -37,6 +38,8 @@ RADIUS = 3
 SEED = 42
 #: Fingerprints in one tree, at most.
 TREE = 4096
+#: Numbers of bit blocks that fingerprints are dealt by, from few and coarse keys to many and fine ones.
+LEVELS = (4, 6, 16)
 
 
 def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> np.ndarray:
@@ -188,39 +191,47 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held_s, held_v)
 
 
-def _blocks(count: int) -> list[F.Column]:
-    width = 64 // count
-    return [F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(count)]
+def _masks(blocks: int) -> list[int]:
+    """All choices of ``blocks - RADIUS`` of so many bit blocks, as masks of 64 bits."""
+    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
+    block = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(block[k] for k in kept) for kept in itertools.combinations(range(blocks), blocks - RADIUS)]
+
+
+def _shards(distinct: DataFrame, blocks: int) -> DataFrame:
+    """(shard, fp): a row for each choice of blocks. Two fingerprints within the radius share a shard."""
+    signed = [m - (1 << 64) * (m >> 63) for m in _masks(blocks)]
+    keys = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)]
+    return distinct.select(F.explode(F.array(*keys)).alias("shard"), "fp")
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    return rows.repartition("shard").sortWithinPartitions("shard").select("shard", "fp").mapInArrow(_search, "fp long, low long")
 
 
 def stars(distinct: DataFrame) -> DataFrame:
-    """(fp, low) links that join every two distinct fingerprints within the radius, directly or through others."""
-    four = F.array(*[b * 4 + k for k, b in enumerate(_blocks(4))])
-    rows = distinct.select(F.explode(four).alias("shard"), "fp")
-    size = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TREE)
-    hot = size.select("shard").collect()  # at most 4 x 65,536 numbers, whatever the input
-    sets = [r["shard"] for r in hot]
-    parts = []
-    if sets:
-        bounded = F.broadcast(distinct.sparkSession.createDataFrame([(s,) for s in sets], "shard long"))
-        parts.append(rows.join(bounded, "shard", "left_anti"))
-        again = rows.join(bounded, "shard", "left_semi").select("fp").distinct()
-        nibbles = [F.shiftrightunsigned("fp", 4 * k).bitwiseAND(F.lit(15)) for k in range(16)]
-        keys = []
-        for k, gone in enumerate(itertools.combinations(range(16), 3)):
-            mask = sum(15 << (4 * g) for g in gone)
-            keep = ~mask & ((1 << 64) - 1)
-            keep -= (1 << 64) * (keep >> 63)
-            keys.append(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(keep))))
-        assert len(nibbles) == 16
-        parts.append(again.select(F.explode(F.array(*keys)).alias("shard"), "fp"))
-    else:
-        parts.append(rows)
-    found = None
-    for p in parts:
-        own = p.repartition("shard").sortWithinPartitions("shard").select("shard", "fp").mapInArrow(_search, "fp long, low long")
-        found = own if found is None else found.unionByName(own)
-    return found.distinct()
+    """(fp, low) links that join every two distinct fingerprints within the radius, directly or through others.
+
+    LEVELS: 4 keys of 16 bits, 20 of 32, 560 of 52. A set too large for 16 bits starts with 32; members of shards over
+    TREE go to the next level, and the last one can't have more than TREE.
+    """
+    start = 1 if distinct.count() > TREE << 14 else 0
+    found, left = [], distinct
+    for blocks in LEVELS[start:]:
+        rows = _shards(left, blocks)
+        if blocks == LEVELS[-1]:
+            found.append(_linked(rows))
+            break
+        large = pinned(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TREE).select("shard"))
+        if not large.take(1):
+            found.append(_linked(rows))
+            break
+        found.append(_linked(rows.join(large, "shard", "left_anti")))
+        left = pinned(rows.join(large, "shard", "left_semi").select("fp").distinct())
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -229,7 +240,6 @@ def components(links: DataFrame) -> DataFrame:
     The links shrink to one a node; every round is pinned in the shared folder, and only a count and a checksum of the
     links come to the driver.
     """
-    spark = links.sparkSession
     edges = pinned(links.select(F.col("fp").alias("u"), F.col("low").alias("v")).where("u <> v"))
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -250,7 +260,6 @@ def components(links: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-    del spark
     return edges.select(F.col("u").alias("fp"), F.col("v").alias("low"))
 
 
@@ -273,8 +282,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """docs without the rows that a near copy of smaller id stands for; of equal ids that remain, one row stays."""
+    """docs without the rows that a near copy of smaller id stands for. Rows that share an id leave the first by text.
+
+    Rows without an id can't be told apart and stay. Ids that come more than once are looked for among (id, fingerprint)
+    rows; only if there are any do their texts move.
+    """
     marked = pinned(fingerprints(docs, id_col, text_col, shingle))
     linked = link(marked)
     gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    twice = pinned(marked.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(id_col)))
+    if not twice.take(1):
+        return kept
+    order = Window.partitionBy(id_col).orderBy(text_col, F.xxhash64(*[F.col(c) for c in docs.columns]))
+    first = kept.join(twice, id_col, "left_semi").withColumn("__k", F.row_number().over(order)).where("__k = 1").select(*docs.columns)
+    return kept.join(twice, id_col, "left_anti").select(*docs.columns).unionByName(first)

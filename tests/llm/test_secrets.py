@@ -1,0 +1,40 @@
+import re
+
+import numpy as np
+
+from factorloom.llm import secrets as S
+
+
+def test_scan_by_brute_force(spark):
+    hexa = "0f3e" * 10
+    texts = [None, "", "plain words only", f'the token = "{hexa}" and after', f"{hexa}", f"commit {hexa}", f'a token = "{hexa}"### token = "{hexa[::-1]}"', "x" * 40, "überlangewortschöpfung" * 3 + "16", f'TOKEN = "{hexa.upper()}"!!', "é" * 50 + f' api_key: "{hexa}"', ("filler words here " * 3000) + f'secret="{hexa}"']
+    df = spark.createDataFrame([(k, t, "c") for k, t in enumerate(texts)] + [(3, texts[3], "c")], "doc_id long, text string, pieces string")
+    forest = S.train(spark)
+    got = sorted(tuple(r) for r in S.scan(df, forest).collect())
+    cand = re.compile(r"(?<![A-Za-z0-9+/_=\-])[A-Za-z0-9+/_=\-]{16,}")
+    found = [(k, m.start(), len(m.group()), m.group(), t) for k, t in [*enumerate(texts), (3, texts[3])] for m in cand.finditer(t or "") if re.search("[0-9]", m.group())]
+    assert sorted((k, a, n, c) for k, a, n, c, _ in found) == [r[:4] for r in got]
+    # the forest's numpy walk over the same features gives the same scores
+    rows = spark.createDataFrame([(t[:a], c, t[a + n :]) for _, a, n, c, t in found], "b string, c string, a string")
+    F = S.F
+    x = rows.select("c", "b", F.array(*S.features(F.col("c"), F.right("b", F.lit(S.BEFORE)), F.left("a", F.lit(S.AFTER)))).alias("x")).collect()
+    assert np.allclose(sorted(forest.score(np.array([r["x"] for r in x]))), sorted(r[4] for r in got))
+    verdict = {(r[0], r[1]): r[5] for r in got}
+    assert all(verdict[(k, a)] for k, a, _, c, t in found if re.search("(?i)(token|secret|api_key)[^a-z]*$", t[:a])) and not any(v for (k, _), v in verdict.items() if k in (5, 8))
+    masked = {r["doc_id"]: r["text"] for r in S.redact(df, forest, chars_col=None).collect()}
+    assert masked[3] == f'the token = "{S.MASK}" and after' and masked[0] is None and masked[1] == "" and masked[6].count(S.MASK) == 2 and masked[7] == texts[7]
+    assert S.scan(df.limit(0), forest).count() == 0
+
+
+def test_no_python_in_the_plan(spark):
+    df = spark.createDataFrame([(1, "x", 1)], "doc_id long, text string, n_chars long")
+    for d in (S.scan(df, S.train(spark)), S.redact(df, S.train(spark))):
+        assert not re.search("Python|Arrow|Pandas", d._jdf.queryExecution().executedPlan().toString())
+
+
+def test_forest_is_right_on_fresh_findings(spark):
+    F, forest = S.F, S.train(spark)
+    rows = spark.createDataFrame(S.labelled_findings(seed=99, each=15), "b string, c string, a string, y int")
+    x = rows.select("y", F.array(*S.features(F.col("c"), F.right("b", F.lit(S.BEFORE)), F.left("a", F.lit(S.AFTER)))).alias("x")).collect()
+    s, y = forest.score(np.array([r["x"] for r in x])) >= 0.5, np.array([r["y"] for r in x]) == 1
+    assert (s == y).mean() > 0.93
