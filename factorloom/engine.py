@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .errors import MissingField
+from .errors import InvalidParameter, MissingField
 from .functions.values import fin
 from .operators import elem
 from .operators.cs import CrossSection
 from .operators.registry import OPS
 from .operators.ts import Rolling
-from .plans.planner import Const, FieldRef, FactorRequest, LogicalPlan, Node, Ref, compile_request
+from .plans.planner import Const, FactorRequest, FieldRef, LogicalPlan, Node, Ref, compile_request
+from .sources.chunks import split_series
 
 
 def column_name(ref: Ref) -> str:
@@ -23,7 +24,7 @@ def _column(ref: Ref) -> Column:
 
 
 class Evaluator:
-    def __init__(self, instrument: str = "instrument", ts: str = "ts"):
+    def __init__(self, instrument: str | list[str] = "instrument", ts: str = "ts"):
         self.rolling, self.cross = Rolling(instrument, ts), CrossSection(ts)
         self.windows, self.pairs = self.rolling.table(), self.rolling.pair_table()
 
@@ -72,10 +73,12 @@ class Evaluator:
         return df
 
 
-def evaluate(plan: LogicalPlan | FactorRequest | list[str] | str, panel: DataFrame, instrument: str = "instrument", ts: str = "ts", keep: tuple[str, ...] = (), inner: bool = False) -> DataFrame:
+def evaluate(plan: LogicalPlan | FactorRequest | list[str] | str, panel: DataFrame, instrument: str = "instrument", ts: str = "ts", keep: tuple[str, ...] = (), inner: bool = False, piece_rows: int | None = None) -> DataFrame:
     """(ts, instrument, kept columns, outputs): invalid values are NULL.
 
     Rows must be unique by (instrument, ts). ``inner`` adds the columns of all nodes, named ``f{id}_{operator}``.
+    ``piece_rows`` cuts long series into pieces of so many rows, each a unit of work of its own (for plans without
+    cross-sectional nodes, where one instrument may hold a large share of the rows).
     """
     if not isinstance(plan, LogicalPlan):
         plan = compile_request(plan)
@@ -84,7 +87,13 @@ def evaluate(plan: LogicalPlan | FactorRequest | list[str] | str, panel: DataFra
             raise MissingField(f"{f.source}.{f.name}")
     # only what the plan reads goes through the shuffles
     slim = panel.select(instrument, ts, *keep, *[F.col(f.column).cast("double").alias(f.column) for f in plan.fields])
-    df = Evaluator(instrument, ts).run(plan, slim)
+    if piece_rows is not None:
+        if plan.cross_sectional():
+            raise InvalidParameter("piece_rows needs a plan without cross-sectional operators")
+        slim = split_series(slim, plan.look_back(), piece_rows, instrument, ts)
+        df = Evaluator([instrument, "__piece"], ts).run(plan, slim).where("not __copy")
+    else:
+        df = Evaluator(instrument, ts).run(plan, slim)
     outputs = [fin(_column(r)).alias(name) for name, r in plan.outputs.items()]
     if inner:
         outputs += [fin(F.col(f"__n{n.id}")).alias(f"f{n.id}_{n.op}") for n in plan.nodes if f"f{n.id}_{n.op}" not in plan.outputs]

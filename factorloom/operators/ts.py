@@ -20,9 +20,9 @@ EPS = 2.220446049250313e-16
 
 
 class Rolling:
-    """Builders for one instrument column and one order column."""
+    """Builders for the column (or columns) of a series and one order column."""
 
-    def __init__(self, instrument: str = "instrument", ts: str = "ts"):
+    def __init__(self, instrument: str | list[str] = "instrument", ts: str = "ts"):
         self.instrument, self.ts = instrument, ts
 
     @property

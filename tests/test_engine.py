@@ -94,3 +94,14 @@ def test_one_exchange_for_windows_of_a_level(spark):
     df = spark.createDataFrame([(1, 1, 1.0)], "instrument int, ts int, bar__close double")
     plan = evaluate(["ts_mean(close, 3)", "ts_std(close, 5)", "ts_max(close, 20)"], df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_long_series_in_pieces(spark):
+    rows = [(0, t, float((t * 37) % 101)) for t in range(900)] + [(i, t * i, float(t * i % 7)) for i in (1, 2) for t in range(50)]
+    df = spark.createDataFrame(rows, "instrument int, ts int, bar__close double")
+    exprs = ["ts_mean(ts_lag(close, 3), 5)", "ts_rank(close, 9) + close"]
+    whole = evaluate(exprs, df).collect()
+    for size in (4, 64):
+        assert sorted(map(repr, evaluate(exprs, df, piece_rows=size).collect())) == sorted(map(repr, whole))
+    with pytest.raises(ValueError):
+        evaluate(["cs_rank(close)"], df, piece_rows=10)
