@@ -48,10 +48,12 @@ ARTICLE = {"article", "main"}
 NEVER = set("head nav footer aside form button dialog menu".split()) | RAW
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 NAMES = set(
-    "nav navbar navigation menu menus submenu sidebar footer header masthead topbar toolbar breadcrumb breadcrumbs ad ads adv advert adverts advertisement advertising banner promo promotion sponsor "
+    "nav navbar navigation menu menus submenu sidebar footer breadcrumb breadcrumbs ad ads adv advert adverts advertisement advertising promo promotion sponsor "
     "sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments respond disqus reply replies share sharing "
     "social related recommended widget pager pagination skip copyright".split()
 )
+#: These mark boilerplate only outside an article: inside one they hold its title.
+OUTSIDE = set("header masthead topbar toolbar banner".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([^>]*+)>)", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -62,7 +64,7 @@ _DIGITS = re.compile(r"\d+")
 class Node:
     __slots__ = ("tag", "key", "out", "items")
 
-    def __init__(self, tag: str, attrs: str = ""):
+    def __init__(self, tag: str, attrs: str = "", inside: bool = False):
         self.tag, self.items = tag, []
         names, role, hidden = [], "", False
         if attrs and not attrs.isspace():
@@ -74,7 +76,7 @@ class Node:
                     names += [x.lower() for x in _SPLIT.split(value) if x]
                 elif what == "hidden" or value.lower() == "true":
                     hidden = True
-        self.out = tag in NEVER or hidden or role in ROLES or any(n in NAMES for n in names) and tag not in ("html", "body", "article", "main")
+        self.out = tag in NEVER or hidden or role in ROLES or any(n in NAMES or n in OUTSIDE and not inside for n in (*names, tag)) and tag not in ("html", "body", "article", "main")
         self.key = tag if not names else tag + "." + ".".join(sorted({_DIGITS.sub("", n) for n in names})[:6])
 
 
@@ -118,7 +120,7 @@ def parse(html: str | None) -> Node:
                 if stack[k].tag in end:
                     break
         attrs = m.group(3) or m.group(4) or ""
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, any(n.tag in ARTICLE for n in stack))
         stack[-1].items.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(text, at)

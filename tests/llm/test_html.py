@@ -13,6 +13,11 @@ def test_article_only():
     assert W.extract("<div title='a>b'>x</div><p", None) == "x <p"
 
 
+def test_headers():
+    assert W.extract("<header>site</header><div class='page-header'>top</div><p>a", None) == "a"
+    assert W.extract("<header>site</header><article><header><h1>Title</h1></header><div class='article-header'>by me</div><p>a<aside>no</aside></article>", None) == "Title by me a"
+
+
 def test_simple_tree_matching_keeps_order():
     a = [["p", 0, [], []], ["div", 0, [], []], ["p", 0, [], []]]
     b = [["div", 0, [], []], ["p", 0, [], []], ["ul", 0, [], []]]
