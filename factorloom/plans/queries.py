@@ -256,3 +256,26 @@ with {MONTHLY_SQL}, v as (select ts, instrument, close + open as a, volume - avg
 select output, instrument, ts, round(value, 6) + 0.0 as value from (
   select 'f0_elem_add' as output, instrument, ts, a as value from v union all select 'f1_elem_add', instrument, ts, a from v union all select 'f2_cs_center', instrument, ts, b from v)
 """
+
+
+def event_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last five views against the last five purchases of each user, by position."""
+    from ..operators.event_clock import evaluate_on_event_clocks
+
+    e = _events(spark, sf_dir)
+    one = lambda kind: e.where(F.col("event_type") == kind).groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    views = P.from_table(one("view"), "bar", "user_id", "ts", close="value")
+    bought = P.from_table(one("purchase"), "quote_tick", "user_id", "ts", bid_price="value")
+    return rounded(evaluate_on_event_clocks("ts_corr(bar.close, quote_tick.bid_price, 5)", [views, bought]), "value")
+
+
+QUERIES["source_event_clocks"] = event_clocks
+ORACLE_SQL["source_event_clocks"] = """
+with p as (select event_type, user_id as instrument, ts, max(value) as v from events where event_type in ('view', 'purchase') and user_id is not null and ts is not null group by 1, 2, 3),
+l as (select event_type, instrument, ts, list(v) over (partition by event_type, instrument order by ts rows between 4 preceding and current row) as a from p),
+m as (select instrument, ts, max(a) filter (event_type = 'view') as x, max(a) filter (event_type = 'purchase') as y from l group by 1, 2),
+f as (select instrument, ts, last_value(x ignore nulls) over w as x, last_value(y ignore nulls) over w as y from m window w as (partition by instrument order by ts rows unbounded preceding)),
+c as (select *, list_transform(x, lambda v: v - list_avg(x)) as dx, list_transform(y, lambda v: v - list_avg(y)) as dy from f),
+s as (select *, list_sum(list_transform(dx, lambda v: v * v)) as xx, list_sum(list_transform(dy, lambda v: v * v)) as yy, list_sum(list_transform(dx, lambda v, k: v * dy[k])) as xy from c)
+select epoch_us(ts) as ts, instrument, round(case when len(x) = 5 and len(y) = 5 and xx > 1e-12 and yy > 1e-12 then xy / sqrt(xx * yy) end, 6) + 0.0 as value from s
+"""
