@@ -1,6 +1,6 @@
 """Secret scans: candidates by a pattern, false positives removed by a random forest. Spark expressions only.
 
-Candidates are runs of LEAST or more key characters with a digit in them. A text is split where candidates begin and end, which keeps
+Candidates are runs of LEAST or more key characters with a digit in them or the beginning of a well-known key. A text is split where candidates begin and end, which keeps
 their positions and neighbours. Features of each candidate: its length, shares and changes of character classes, how
 much of it common word fragments cover, entropy, whether it lies in a path, and the words before it. The forest is
 trained here from labelled findings (made by rule, ``labelled_findings``) whose features the same expressions compute;
@@ -23,7 +23,9 @@ from .common import only
 LEAST = 16
 KEY = r"A-Za-z0-9+/_=\-"
 CUT = rf"(?<![{KEY}])(?=[{KEY}]{{{LEAST}}})|(?<=[{KEY}]{{{LEAST}}})(?![{KEY}])"
-CANDIDATE = rf"^(?=.*[0-9])[{KEY}]{{{LEAST},}}$"
+# How keys of well-known services begin.
+PREFIX = "(AKIA|ASIA|AIza|ghp_|gho_|ghs_|glpat-|sk_live_|sk_test_|sk-|rk_live_|xoxb-|xoxp-|npm_|pypi-|hf_|SG-)"
+CANDIDATE = rf"^(?=.*[0-9]|{PREFIX})[{KEY}]{{{LEAST},}}$"
 #: A text without this has no candidate: a digit within a long run, looked for without splitting.
 HINT = rf"[{KEY}]{{{LEAST},}}"
 BEFORE, AFTER = 40, 16
@@ -42,7 +44,7 @@ ASKS = r"(?i)(token|secret|passw(or)?d|pwd|passphrase|api.?key|access.?key|priva
 DENIES = r"(?i)(sha-?\d*|md5|checksum|commit|revision|integrity|digest|hash|etag|uuid|guid|fingerprint|version|build|blob|tree|base64,|order|invoice|phone|card|isbn|doi|href|src)[\w\-]{0,8}[\"'\s:=(/.#]{0,6}$"
 FILLER = r"(?i)(x{4}|0{6}|1234|abcd|example|changeme|dummy|placeholder|your|sample|(.)\2{4})"
 
-NAMES = ("length", "digits", "upper", "changes", "covered", "hex", "distinct", "entropy", "path", "asks", "denies", "assigned", "quoted", "filler", "dashes", "vowels")
+NAMES = ("length", "digits", "upper", "changes", "covered", "hex", "distinct", "entropy", "path", "asks", "denies", "assigned", "quoted", "filler", "dashes", "vowels", "prefix")
 
 
 def features(c: Column, before: Column, after: Column) -> list[Column]:
@@ -60,7 +62,7 @@ def features(c: Column, before: Column, after: Column) -> list[Column]:
     vowels = F.length(F.regexp_replace(letters, "(?i)[^aeiou]", "")) / F.greatest(F.length(letters), F.lit(1))
     return [
         n, share("[0-9]"), share("[A-Z]"), changes.cast("double"), covered, yes(c.rlike(r"^([0-9a-f]+|[0-9A-F]+)$")), F.size(kinds) / n, entropy, path, yes(before.rlike(ASKS)),
-        yes(before.rlike(DENIES)), yes(before.rlike(r"[=:]\s*[\"'`]?$")), yes(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")), yes(c.rlike(FILLER)), share("[-_]"), vowels.cast("double"),
+        yes(before.rlike(DENIES)), yes(before.rlike(r"[=:]\s*[\"'`]?$")), yes(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")), yes(c.rlike(FILLER)), share("[-_]"), vowels.cast("double"), yes(c.rlike("^" + PREFIX)),
     ]
 
 
@@ -81,7 +83,8 @@ def labelled_findings(seed: int = 7, each: int = 60) -> list[tuple[str, str, str
         for make in (lambda: draw(hexa, r.choice((32, 40, 40, 48, 64))), lambda: draw(alnum, r.randint(20, 48)), lambda: draw(alnum + "+/", r.choice((40, 44, 64))) + r.choice(("", "=")), lambda: r.choice(("sk_live_", "ghp_", "xoxb-", "AKIA")) + draw(alnum, r.randint(16, 36)), lambda: draw(hexa, 40).upper()):
             out.append((lead() + r.choice(ends)(r.choice(names)), make(), r.choice(tails), 1))
         # keys that stand without a name
-        out.append((lead() + r.choice(("", '"', "= ")), r.choice(("sk_live_", "ghp_", "AKIA")) + draw(alnum, 32), r.choice(tails), 1))
+        out.append((lead() + r.choice(("", '"', "= ")), r.choice(("sk_live_", "ghp_", "glpat-", "xoxb-")) + draw(alnum, r.randint(20, 36)), r.choice(tails), 1))
+        out.append((lead() + r.choice(("", "", '"')), r.choice(("AKIA", "ASIA")) + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), r.choice(tails), 1))
         uuid = "-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12))
         for before, c in (
             (r.choice(ends)(r.choice(other)), draw(hexa, r.choice((32, 40, 64)))), (r.choice(ends)(r.choice(other)), uuid), ("", compound(r.randint(5, 9)) + str(r.randint(0, 9))), ("", "_".join(compound(2) for _ in range(3)) + str(r.randint(1, 99))),

@@ -10,7 +10,7 @@ their headers.
 
 Defined results: a null html is the empty payload; shorter payloads are all responses; rows with equal page_id and equal
 payload beyond the first are revisits of themselves; rows with a null page_id come last in the order and their id reads
-back as null. Archives are written under temporary names and renamed, so a repeated task leaves whole files only; the
+back as null, and a payload that only such rows have is stored with each. Archives are written under temporary names and renamed, so a repeated task leaves whole files only; the
 table of archives names those that count.
 """
 
@@ -26,7 +26,7 @@ from datetime import UTC, datetime
 import pyarrow as pa
 import zstandard
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, only, pinned
@@ -129,18 +129,30 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, html, refers_to: what each page's record is. Equal payloads meet as digests only, summed before they move.
+    """page_id, url, html, refers_to: null for a response, else the page_id of the response that the record repeats.
 
-    A payload's digest and the smallest page_id of its group are joined back; only payloads that occur twice or more are in
-    that table, and Spark splits the rows of a payload that very many pages share.
+    Payloads meet as digests only, counted before they move. The table of digests that occur twice or more is written to
+    the shared folder, so that Spark knows its size: small, it is broadcast and no page moves; large, it is joined by
+    digest and Spark splits the rows of a payload that very many pages share.
     """
+    spark = pages.sparkSession
     own = only(pages, page_id=id_col, url=url_col, html=html_col).withColumn("html", F.coalesce("html", F.lit("")))
     raw = F.encode("html", "utf-8")
     marked = own.withColumn("digest", F.when(F.octet_length("html") >= REVISIT, F.sha2(raw, 256)))
-    groups = (
-        marked.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    )
-    return marked.join(groups, "digest", "left").select("page_id", "url", "html", F.col("first").alias("refers_to"))
+    by_page = marked.where("digest is not null").groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    by_digest = by_page.groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("n", "page_id").alias("n_first"), F.sum("n").alias("n"))
+    to = fresh(spark, "warc-digests")
+    by_digest.where("n > 1 and first is not null").select("digest", "first", "n_first").write.parquet(to)
+    groups = spark.read.schema("digest string, first long, n_first long").parquet(to)
+    joined = marked.join(groups, "digest", "left")
+    again = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    if not groups.where("n_first > 1").take(1):
+        return joined.select("page_id", "url", "html", again.alias("refers_to"))
+    # the same page came more than once: one of its rows is the response
+    several = F.coalesce((F.col("page_id") == F.col("first")) & (F.col("n_first") > 1), F.lit(False))
+    turn = F.row_number().over(Window.partitionBy("digest").orderBy("url"))
+    same = joined.where(several).withColumn("k", turn).select("page_id", "url", "html", F.when(F.col("k") > 1, F.col("first")).alias("refers_to"))
+    return joined.where(~several).select("page_id", "url", "html", again.alias("refers_to")).unionByName(same)
 
 
 def write_archives(planned: DataFrame, folder: str, date: datetime = DATE) -> DataFrame:
@@ -163,15 +175,13 @@ def write_archives(planned: DataFrame, folder: str, date: datetime = DATE) -> Da
             names.append(f"{folder}/{name}")
             counts.append(a.records)
 
-        archive, responded = Archive(), set()
+        archive = Archive()
         for batch in batches:
             for k in range(batch.num_rows):
                 page_id, url, html, refers = (batch.column(j)[k].as_py() for j in range(4))
                 payload = html.encode("utf-8", "replace")
                 digest = hashlib.sha256(payload).hexdigest()
-                kind = "revisit" if refers is not None and (refers != page_id or digest in responded) else "response"
-                if refers is not None and refers == page_id:
-                    responded.add(digest)
+                kind = "response" if refers is None else "revisit"
                 archive.add(record_bytes(kind, page_id, url, payload, digest, len(payload), refers, date))
                 if archive.raw >= ARCHIVE:
                     put(archive)
