@@ -19,13 +19,15 @@ class CrossSection:
         return Window.partitionBy(self.ts)
 
     def rank(self, x: Column) -> Column:
-        """Average rank from 0 to 1 among the valid; a single valid one has 0."""
+        """Average rank from 0 to 1 among the valid; a single valid one has 0.
+
+        Rank, ties (the peers in a range frame) and count all use one partitioning: one exchange.
+        """
         x = fin(x)
-        mine = Window.partitionBy(self.ts, x.isNull())
-        least = F.rank().over(mine.orderBy(x))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(self.ts, x))
+        ordered = self.all.orderBy(x.isNull(), x)
+        ties = F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
         n = F.count(x).over(self.all)
-        return settle(F.when(x.isNotNull(), F.when(n > 1, guarded_div(least + (ties - 1) / 2.0 - 1, n - 1)).otherwise(0.0)))
+        return settle(F.when(x.isNotNull(), F.when(n > 1, guarded_div(F.rank().over(ordered) + (ties - 1) / 2.0 - 1, n - 1)).otherwise(0.0)))
 
     def zscore(self, x: Column) -> Column:
         x = fin(x)

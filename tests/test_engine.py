@@ -94,6 +94,8 @@ def test_one_exchange_for_windows_of_a_level(spark):
     df = spark.createDataFrame([(1, 1, 1.0)], "instrument int, ts int, bar__close double")
     plan = evaluate(["ts_mean(close, 3)", "ts_std(close, 5)", "ts_max(close, 20)"], df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+    plan = evaluate(["cs_rank(close)", "cs_zscore(close)", "cs_norm(close)"], df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_long_series_in_pieces(spark):
