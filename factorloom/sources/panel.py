@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import EmptyUniverse, MissingField, NotReady, UnsupportedField
+from ..errors import EmptyUniverse, MissingField, NotReady, PayloadMismatch, UnknownInstrument, UnsupportedField
 from ..plans.planner import FieldRef, LogicalPlan
 
 #: Fields of typed sources; "data" carries any name.
@@ -49,6 +49,42 @@ def from_table(df: DataFrame, source: str, instrument: str | Column, ts: str | C
     return df.select(col(instrument).alias("instrument"), col(ts).alias("ts"), *[col(c).cast("double").alias(f"{source}__{f}") for f, c in fields.items()])
 
 
+def from_field_maps(rows: DataFrame, plan: LogicalPlan, instrument: str = "instrument_slot", fields: str = "fields") -> DataFrame:
+    """A panel from rows (instrument, ts, map of named values), as exchanged in JSON: names are bare or ``source.field``.
+
+    A name that is there with a null value is an invalid sample; a name that isn't there is no sample.
+    """
+    m = F.col(fields)
+
+    def value(f: FieldRef) -> Column:
+        names = [f"{f.source}.{f.name}", f.name]
+        return F.coalesce(*[F.when(F.map_contains_key(m, n), F.coalesce(F.try_element_at(m, F.lit(n)).cast("double"), F.lit(float("nan")))) for n in names])
+
+    return rows.select(F.col(instrument).alias("instrument"), "ts", *[value(f).alias(f.column) for f in plan.fields])
+
+
+def reject_unknown(events: DataFrame, universe: DataFrame) -> DataFrame:
+    """events, or an error that names an instrument outside the universe."""
+    other = events.join(universe.select("instrument").distinct(), "instrument", "left_anti").select("instrument").take(1)
+    if other:
+        raise UnknownInstrument(f"instrument {other[0][0]} is not in the universe")
+    return events
+
+
+def check_payload(events: DataFrame, source: str) -> DataFrame:
+    """events of one source, or an error if they carry another source's fields."""
+    own = set(TYPED) | {"data"}
+    if source not in own:
+        raise PayloadMismatch(f"unknown source {source!r}")
+    for c in events.columns:
+        kind, _, name = c.partition("__")
+        if name and kind in own and kind != source:
+            raise PayloadMismatch(f"column {c!r} in events of source {source!r}")
+        if name and kind == source and kind in TYPED and name not in TYPED[kind]:
+            raise UnsupportedField(source, name)
+    return events
+
+
 def admit(events: DataFrame, universe: DataFrame) -> DataFrame:
     """Events of known instruments only. The universe joins as Spark sees fit: broadcast while it is small."""
     if not universe.take(1):

@@ -1,6 +1,7 @@
 import pytest
 
-from factorloom.errors import NonMonotonicAdvance, NotReady
+from factorloom.engine import evaluate
+from factorloom.errors import NonMonotonicAdvance, NotReady, PayloadMismatch, UnknownInstrument, UnsupportedField
 from factorloom.plans.planner import compile_request
 from factorloom.sources import panel as P
 from factorloom.streaming.runtime import Advancer, FactorFrame, FactorStream
@@ -61,3 +62,25 @@ def test_structured_streaming(spark, tmp_path):
     q = s.start(spark.readStream.schema(EVENTS).parquet(str(src)), str(tmp_path / "cp"), availableNow=True)
     q.awaitTermination(120)
     assert sorted((r["ts"], r["instrument"], r["v"]) for r in got) == [(1, 1, None), (1, 2, None), (2, 1, 3.0), (2, 2, 6.0), (3, 1, 5.0), (3, 2, 10.0)]
+
+
+def test_json_rows(spark):
+    plan = compile_request(["close + data.cap"], ["v"])
+    lines = ['{"ts": 1, "instrument_slot": 1, "fields": {"close": 2.0, "data.cap": 3.0, "other": 1.0}}', '{"ts": 2, "instrument_slot": 1, "fields": {"close": null, "data.cap": 3.0}}', '{"ts": 3, "instrument_slot": 1, "fields": {"close": 2.0}}']
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").selectExpr("from_json(line, 'ts long, instrument_slot int, fields map<string, double>') as r").select("r.*")
+    panel = P.from_field_maps(rows, plan)
+    got = sorted((r["ts"], r["bar__close"], r["data__cap"]) for r in panel.collect())
+    assert got[0] == (1, 2.0, 3.0) and got[1][1] != got[1][1] and got[2][2] is None
+    assert [r["v"] for r in evaluate(plan, panel).orderBy("ts").collect()] == [5.0, None, None]
+
+
+def test_rejections(spark):
+    e = spark.createDataFrame([(1, 1, 1, 0, 1.0), (9, 1, 1, 0, 1.0)], EVENTS)
+    u = spark.createDataFrame([(1,)], "instrument int")
+    with pytest.raises(UnknownInstrument):
+        P.reject_unknown(e, u)
+    assert P.admit(e, u).count() == 1 and P.check_payload(e, "bar") is e
+    with pytest.raises(PayloadMismatch):
+        P.check_payload(e, "quote_tick")
+    with pytest.raises(UnsupportedField):
+        P.check_payload(e.withColumn("bar__vwap", P.F.lit(1.0)), "bar")
