@@ -83,10 +83,12 @@ def fold(column: str, parts: int) -> F.Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, parts: int = 0, held: int = 0) -> DataFrame:
     """At most ``limit`` labelled documents (doc_id, text, y), by hash order of the id, folds equal to ``held`` left out.
 
-    The bound holds for rows of ``labels``; the broadcast side is therefore at most ``limit`` pairs of numbers.
+    The broadcast side is at most ``limit`` pairs of numbers. A labelled id counts once however often it comes, with its
+    first text in order.
     """
     own = labels.select(labels["doc_id"], labels[label].cast("int").alias("y")).where("doc_id is not null and y is not null")
     if parts:
         own = own.where(fold("doc_id", parts) != held)
     picked = own.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.join(F.broadcast(picked), "doc_id", "inner").select("doc_id", "text", "y")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "inner")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
