@@ -268,9 +268,10 @@ def link(marked: DataFrame) -> DataFrame:
     groups = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     groups = pinned(groups)
     roots = components(stars(groups.select("fp")))
-    rooted = groups.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("low", "fp").alias("low"), F.col("low").isNotNull().alias("moved"))
-    of_root = rooted.groupBy("low").agg(F.min("least").alias("component_id"), F.sum("n").alias("size"))
-    wanted = rooted.join(of_root.where("size > 1"), "low").select("fp", "component_id")
+    rooted = groups.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("low", "fp").alias("low"))
+    # a table of its own, so that Spark can split the rows of a component that holds very many fingerprints
+    of_root = pinned(rooted.groupBy("low").agg(F.min("least").alias("component_id"), F.sum("n").alias("size")).where("size > 1").select("low", "component_id"))
+    wanted = rooted.join(of_root, "low").select("fp", "component_id")
     return marked.join(wanted, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
