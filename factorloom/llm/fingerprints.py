@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import SPACES, only
 from .simhash import shingle_hashes
 
 SAMPLES = 64
 SHINGLE = 5
 SEED = 2010
+SPACE = {chr(c) for c in SPACES} | {""}
 #: Parts by id are cut at quantiles, at most so many; each is cut evenly beyond that.
 QUANTILES = 512
 
@@ -109,6 +110,42 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
+class Text:
+    """A text with its words, shingle hashes and samples."""
+
+    def __init__(self, sampler: Sampler, text: str):
+        self.text, self.sampler = text, sampler
+        self.words = text.encode("utf-8", "replace").split()
+        self.hashes = shingle_hashes(self.words, SHINGLE)
+        self.marks = sampler.marks(self.hashes)
+
+    def edited(self, after: Text) -> tuple[str, np.ndarray]:
+        """The edited text and its marks. Shingles that lie whole in either text are not hashed again."""
+        cut = len(self.text) - len(self.text) // 2
+        head, tail = self.text[:cut], after.text[: len(self.text) // 2]
+        mixed = head + tail
+        words = mixed.encode("utf-8", "replace").split()
+        if min(len(self.words), len(after.words), len(words)) < SHINGLE:
+            return mixed, self.sampler.marks(shingle_hashes(words, SHINGLE))
+        # how many words of each text stand whole in the edited one, and where the second's begin
+        front, back = len(head.encode("utf-8", "replace").split()), len(tail.encode("utf-8", "replace").split())
+        open_end = head[-1:] not in SPACE
+        glued = int(open_end and tail[:1] not in SPACE)
+        parted = tail[-1:] not in SPACE and after.text[len(tail) : len(tail) + 1] not in SPACE
+        begin = len(words) - back + glued  # the second text's word number ``glued`` is this word
+        a = max(0, front - open_end - SHINGLE + 1)
+        b = max(glued, back - parted - SHINGLE + 1)
+        if b == glued:
+            return mixed, self.sampler.marks(np.concatenate((self.hashes[:a], _runs(words[a:]))))
+        between, end = words[a : begin + SHINGLE - 1], words[begin + b - glued :]
+        return mixed, self.sampler.marks(np.concatenate((self.hashes[:a], _runs(between), after.hashes[glued:b], _runs(end))))
+
+
+def _runs(words: list[bytes]) -> np.ndarray:
+    """Hashes of full shingles only."""
+    return shingle_hashes(words, SHINGLE) if len(words) >= SHINGLE else np.zeros(0, np.uint64)
+
+
 def _parted(docs: DataFrame) -> DataFrame:
     """Rows (part, copy, doc_id, text): parts are ranges of ids in order, and the first rows of a part also go, as copies, to
     the part before it (those of the first part to the last), so that each row's next one is in its own part."""
@@ -157,23 +194,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def made(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    held = None  # (part, doc_id, text, marks) that waits for its next one
+    held = None  # (part, doc_id, text) that waits for its next one
     rows = []
     for batch in batches:
         for k in range(batch.num_rows):
             part, copy, doc_id, text = (batch.column(j)[k].as_py() for j in range(4))
             if copy and (held is None or held[0] != part):
                 continue  # a further copy: the first has answered
-            marks = sampler.of(text)
+            new = Text(sampler, text)
             if held is not None and held[0] == part:
-                _, own_id, own, own_marks = held
-                mixed = edited(own, text)
-                other = sampler.of(mixed)
-                rows.append((own_id, len(own), hashlib.sha256(mixed.encode("utf-8", "replace")).hexdigest(), as_hex(own_marks), as_hex(other), likeness(own_marks, other), likeness(own_marks, marks)))
+                _, own_id, own = held
+                mixed, other = own.edited(new)
+                rows.append((own_id, len(own.text), hashlib.sha256(mixed.encode("utf-8", "replace")).hexdigest(), as_hex(own.marks), as_hex(other), likeness(own.marks, other), likeness(own.marks, new.marks)))
                 if len(rows) >= 500:
                     yield made(rows)
                     rows = []
-            held = None if copy else (part, doc_id, text, marks)
+            held = None if copy else (part, doc_id, new)
     if rows:
         yield made(rows)
 
