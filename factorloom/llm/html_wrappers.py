@@ -2,9 +2,11 @@
 
 Pages of one host are laid over each other by simple tree matching. A page's tree is first folded: neighbouring siblings
 of one kind (tag, class and id words) become one slot. Each task merges its pages into one template a host; templates
-are merged again, in salted groups and then by host, so that every page counts and no task holds a host's pages.
+are merged again, in salted groups and then by host, so that every page counts and no task holds a host's pages. Copies
+of one page (equal html) count once a host: they say nothing about what its pages share.
 
-A template slot is *constant* if nearly all pages have the same text in it, and *varying* otherwise. The wrapper of a host is
+A template slot is *constant* if nearly all pages have the same text in it, and *varying* otherwise. Only that text is left
+out: another text that a page has in a constant slot is the page's own. The wrapper of a host is
 the slot that holds the article (article or main, else the innermost container with nearly all varying words) and the
 slots inside it to leave out: constant ones, menus by their share of linked words, and those whose tag, role, class or
 id says that they are navigation, notices, adverts, comments and the like. The wrapper is then matched to each page.
@@ -166,9 +168,13 @@ def own_text(nodes: list[Node]) -> tuple[str, int, int]:
 # --- templates: dicts k (key), o (out), n (pages), h/c (commonest text's hash, its lead), w (words), a (linked words), s (slots)
 
 
+def hashed(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace"))
+
+
 def template_of(folded: list) -> dict:
     text, words, linked = own_text(folded[2])
-    return {"k": folded[0], "o": folded[1], "n": 1, "h": zlib.crc32(text.encode("utf-8", "replace")), "c": 1, "w": words, "a": linked, "s": [template_of(c) for c in folded[3]]}
+    return {"k": folded[0], "o": folded[1], "n": 1, "h": hashed(text), "c": 1, "w": words, "a": linked, "s": [template_of(c) for c in folded[3]]}
 
 
 def matching(a: list, b: list, key, slots, seen: dict) -> list[tuple[int, int]]:
@@ -251,9 +257,9 @@ def wrapper_of(t: dict) -> dict:
         tag = s["k"].split(".")[0]
         constant = s["n"] >= PAGES and s["w"] > 0 and s["c"] >= (2 * SAME - 1) * s["n"]
         menu = tag in ("ul", "ol", "div", "section", "table", "td", "p") and words >= 4 * s["n"] and linked >= LINKED * words
-        out = s["o"] or menu or (constant and not kids)
+        out = s["o"] or menu
         own = 0 if constant else s["w"]
-        return {"k": s["k"], "x": out, "t": constant, "r": False, "w": 0 if out else own + kept, "aw": words, "al": linked, "s": kids}
+        return {"k": s["k"], "x": out, "t": constant, "h": s["h"], "r": False, "w": 0 if out else own + kept, "aw": words, "al": linked, "s": kids}
 
     top = mark(t)
 
@@ -271,7 +277,7 @@ def wrapper_of(t: dict) -> dict:
         s["r"] = True
 
     def slim(s: dict) -> dict:
-        return {"k": s["k"], "x": int(s["x"]), "t": int(s["t"]), "r": int(s["r"]), "s": [slim(c) for c in s["s"]]}
+        return {"k": s["k"], "x": int(s["x"]), "t": int(s["t"]), "h": s["h"], "r": int(s["r"]), "s": [slim(c) for c in s["s"]]}
 
     return slim(top)
 
@@ -336,7 +342,7 @@ def extract(html: str | None, wrapper: dict | None) -> str:
         if w["x"]:
             out.update(id(n) for n in f[2])
             return
-        if w["t"]:
+        if w["t"] and hashed(own_text(f[2])[0]) == w["h"]:
             quiet.update(id(n) for n in f[2])
         if w["r"] and not inside:
             roots.extend(f[2])
@@ -352,49 +358,85 @@ def host_of(url: F.Column) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    hosts, salts, copies, templates = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(salts, pa.int32()), pa.array(copies, pa.string()), pa.array(templates, pa.string())], names=["host", "salt", "copy", "template"])
+
+
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, html): one template a host and task. Hosts beyond a few thousand at a time are sent on early."""
+    """Rows (host, html, copy): one template a host and task. Hosts beyond a few thousand at a time are sent on early.
+
+    Pages that come again (copy: their digest, else null) are sent on by themselves, once a task, to be counted once.
+    """
     from pyspark import TaskContext
 
     salt = TaskContext.get().partitionId() % SALTS
     held: dict[str, dict] = {}
+    seen: set[tuple[str, str]] = set()
+    for batch in batches:
+        alone = []
+        for k in range(batch.num_rows):
+            host, page, copy = (batch.column(c)[k].as_py() for c in range(3))
+            if copy is not None and (host, copy) in seen:
+                continue
+            t = template_of(fold([parse(page)]))
+            if copy is not None:
+                seen.add((host, copy))
+                alone.append((host, salt, copy, json.dumps(t)))
+            else:
+                held[host] = merge(held[host], t) if host in held else t
+        if alone:
+            yield _batch(alone)
+        if len(held) > 4000:
+            yield _batch([(h, salt, None, json.dumps(t)) for h, t in held.items()])
+            held.clear()
+    if held:
+        yield _batch([(h, salt, None, json.dumps(t)) for h, t in held.items()])
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([salt] * len(held), pa.int32()), pa.array([json.dumps(t) for t in held.values()])], names=["host", "salt", "template"])
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Templates, dealt by host and salt or digest: merged to one a host and task, those of one digest counted once."""
+    held: dict[str, dict] = {}
+    seen: set[tuple[str, str]] = set()
     for batch in batches:
         for k in range(batch.num_rows):
-            host, page = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-            t = template_of(fold([parse(page)]))
+            host, copy = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
+            if copy is not None:
+                if (host, copy) in seen:
+                    continue
+                seen.add((host, copy))
+            t = json.loads(batch.column(3)[k].as_py())
             held[host] = merge(held[host], t) if host in held else t
         if len(held) > 4000:
-            yield out()
+            yield _batch([(h, 0, None, json.dumps(t)) for h, t in held.items()])
             held.clear()
     if held:
-        yield out()
+        yield _batch([(h, 0, None, json.dumps(t)) for h, t in held.items()])
 
 
-def _join_templates(key: str):
-    def run(key_values, rows):
-        merged = None
-        for t in rows["template"]:
-            merged = json.loads(t) if merged is None else merge(merged, json.loads(t))
-        import pandas as pd
+def _join_templates(key_values, rows):
+    merged = None
+    for t in rows["template"]:
+        merged = json.loads(t) if merged is None else merge(merged, json.loads(t))
+    import pandas as pd
 
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "template": [json.dumps(merged if key == "salt" else wrapper_of(merged))]})
-
-    return run
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "template": [json.dumps(wrapper_of(merged))]})
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, template): the wrapper of every host, as JSON, from all its pages; written once to the shared folder."""
-    own = only(pages, url=url_col, html=html_col).where("html is not null").select(host_of(F.col("url")).alias("host"), "html")
-    made = own.mapInArrow(_induce, "host string, salt int, template string")
-    salted = made.groupBy("host", "salt").applyInPandas(_join_templates("salt"), "host string, template string")
-    joined = salted.groupBy("host").applyInPandas(_join_templates("host"), "host string, template string")
+    """(host, template): the wrapper of every host, as JSON, from all its distinct pages; written once to the shared folder.
+
+    The digests of pages that come again are written too, so that Spark knows their size and can broadcast them.
+    """
     spark = pages.sparkSession
-    to = fresh(spark, "wrappers")
-    joined.write.parquet(to)
+    own = only(pages, url=url_col, html=html_col).where("html is not null").select(host_of(F.col("url")).alias("host"), "html", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
+    again, to = fresh(spark, "copies"), fresh(spark, "wrappers")
+    own.groupBy("host", "digest").count().where("count > 1").select("host", "digest", F.col("digest").alias("copy")).write.parquet(again)
+    copies = spark.read.schema("host string, digest string, copy string").parquet(again)
+    parts = "host string, salt int, copy string, template string"
+    made = own.join(copies, ["host", "digest"], "left").select("host", "html", "copy").mapInArrow(_induce, parts)
+    dealt = made.repartition("host", F.coalesce("copy", F.col("salt").cast("string"))).mapInArrow(_gather, parts)
+    dealt.groupBy("host").applyInPandas(_join_templates, "host string, template string").write.parquet(to)
     return spark.read.schema("host string, template string").parquet(to)
 
 

@@ -45,6 +45,19 @@ def test_equal_articles_stay():
     assert W.extract(pages[0], wrapper(pages)) == "Head 1 one & two 1 three four"
 
 
+def test_copies_of_one_page_count_once(spark):
+    copy = "<body><article><h1>Not found</h1><p>nothing here</article>"
+    other = "<body><article><h1>Own title</h1><p>own words<ul><li>a<li>b</ul></article>"
+    same = copy.replace("</article>", "<ul><li>c</ul></article>")
+    pages = [copy] * 30 + [other, same]
+    df = spark.createDataFrame([(k, f"http://h/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in W.main_text(df, W.wrappers(df)).collect()}
+    assert got[0] == "Not found nothing here" and got[30] == "Own title own words a b" and got[31] == "Not found nothing here c"
+    # a text of its own in a slot that is constant elsewhere stays, even where no html repeats
+    w = wrapper([copy + f"<!-- {k} -->" for k in range(30)] + [other])
+    assert W.extract(other, w) == "Own title own words a b"
+
+
 def test_query(spark):
     rows = [(k, f"https://h{k % 2}.example.com:80/{k}?x", page(k), "c") for k in range(20)] + [(20, None, None, "c"), (21, "x", "", "c"), (22, "http://H1.example.com", page(22), "c")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
