@@ -22,6 +22,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,8 +35,8 @@ from .common import fresh, only
 PAGES, SAME = 8, 0.9
 #: A list or box is a menu if this share of its words is linked.
 LINKED = 0.8
-#: Children of a template slot, at most; kinds beyond join the nearest slot of their tag. Depth that is looked at.
-WIDTH, DEPTH = 48, 40
+#: Depth that is looked at.
+DEPTH = 40
 SALTS = 32
 
 # The names of elements, roles and class words in HTML.
@@ -79,7 +80,8 @@ class Node:
                 elif what == "hidden" or value.lower() == "true":
                     hidden = True
         self.out = tag in NEVER or hidden or role in ROLES or any(n in NAMES or n in OUTSIDE and not inside for n in (*names, tag)) and tag not in ("html", "body", "article", "main")
-        self.key = tag if not names else tag + "." + ".".join(sorted({_DIGITS.sub("", n) for n in names})[:6])
+        # nodes to leave out are a kind of their own, so that they never share a slot with others
+        self.key = (tag if not names else tag + "." + ".".join(sorted({_DIGITS.sub("", n) for n in names})[:6])) + (".!" if self.out else "")
 
 
 def parse(html: str | None) -> Node:
@@ -179,9 +181,16 @@ def template_of(folded: list) -> dict:
 
 def matching(a: list, b: list, key, slots, seen: dict) -> list[tuple[int, int]]:
     """Simple tree matching of two rows of subtrees: the pairs, in order, that match the most nodes."""
+    if len(a) == len(b) and all(key(x) == key(y) for x, y in zip(a, b, strict=True)):
+        return [(k, k) for k in range(len(a))]
+    # only kinds that both have can match: a template's many rare kinds cost a page nothing
+    kinds = {key(y) for y in b}
+    rows = [i for i, x in enumerate(a) if key(x) in kinds]
+    if len(rows) < len(a):
+        kinds = {key(a[i]) for i in rows}
+        columns = [j for j, y in enumerate(b) if key(y) in kinds]
+        return [(rows[i], columns[j]) for i, j in matching([a[i] for i in rows], [b[j] for j in columns], key, slots, seen)] if rows else []
     n, m = len(a), len(b)
-    if n == m and all(key(x) == key(y) for x, y in zip(a, b, strict=True)):
-        return [(k, k) for k in range(n)]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(1, n + 1):
         for j in range(1, m + 1):
@@ -237,12 +246,6 @@ def merge(t: dict, other: dict) -> dict:
         else:
             out.append(y)
     out += own[done:]
-    while len(out) > WIDTH:  # too many kinds: the rarest joins the first of its tag, or goes
-        k = min(range(len(out)), key=lambda i: (out[i]["n"], -i))
-        x = out.pop(k)
-        tag = x["k"].split(".")[0]
-        if home := next((y for y in out if y["k"].split(".")[0] == tag), None):
-            merge(home, x | {"k": home["k"]})
     t["s"] = out
     return t
 
@@ -259,7 +262,7 @@ def wrapper_of(t: dict) -> dict:
         menu = tag in ("ul", "ol", "div", "section", "table", "td", "p") and words >= 4 * s["n"] and linked >= LINKED * words
         out = s["o"] or menu
         own = 0 if constant else s["w"]
-        return {"k": s["k"], "x": out, "t": constant, "h": s["h"], "r": False, "w": 0 if out else own + kept, "aw": words, "al": linked, "s": kids}
+        return {"k": s["k"], "x": out, "t": constant, "h": s["h"], "n": s["n"], "o": s["o"], "r": False, "w": 0 if out else own + kept, "aw": words, "al": linked, "s": kids}
 
     top = mark(t)
 
@@ -277,7 +280,10 @@ def wrapper_of(t: dict) -> dict:
         s["r"] = True
 
     def slim(s: dict) -> dict:
-        return {"k": s["k"], "x": int(s["x"]), "t": int(s["t"]), "h": s["h"], "r": int(s["r"]), "s": [slim(c) for c in s["s"]]}
+        # a rare kind that says nothing, and that no other slot here could be taken for, isn't carried to the pages
+        of = Counter(c["k"] for c in s["s"])
+        kids = [y for c in s["s"] for y in [slim(c)] if c["n"] >= PAGES or of[c["k"]] > 1 or y["r"] or y["s"] or y["x"] and not c["o"]]
+        return {"k": s["k"], "x": int(s["x"]), "t": int(s["t"]), "h": s["h"], "r": int(s["r"]), "s": [] if s["x"] else kids}
 
     return slim(top)
 

@@ -58,6 +58,21 @@ def test_copies_of_one_page_count_once(spark):
     assert W.extract(other, w) == "Own title own words a b"
 
 
+def test_more_than_48_kinds_under_a_node():
+    letters = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    make = lambda k: f"<body><div id=page><h2>Title {k}</h2><p>Some words {k} of the text</div><div class=ad id=slot-{letters(k)}>buy {k}</div><section id=s-{letters(k)}>own {k}</section><div class=end>All rights kept</div></body>"
+    pages = [make(k) for k in range(130)]
+    w = wrapper(pages)
+    for k in (0, 7, 60, 129):
+        assert W.extract(pages[k], w) == f"Title {k} Some words {k} of the text own {k}"
+    # rare kinds add up however many kinds there are
+    rare = [make(k).replace("<div class=end>", "<div class=rare>join us today</div><div class=end>") if k % 13 == 0 else make(k) for k in range(130)]
+    assert W.extract(rare[13], wrapper(rare)) == "Title 13 Some words 13 of the text own 13"
+    # one hidden node says nothing of others of its class
+    some = [make(k).replace("<p>", "<p hidden>no</p><p>" if k == 5 else "<p>") for k in range(60)]
+    assert W.extract(some[5], wrapper(some)) == "Title 5 Some words 5 of the text own 5" and W.extract(some[6], wrapper(some)) == "Title 6 Some words 6 of the text own 6"
+
+
 def test_query(spark):
     rows = [(k, f"https://h{k % 2}.example.com:80/{k}?x", page(k), "c") for k in range(20)] + [(20, None, None, "c"), (21, "x", "", "c"), (22, "http://H1.example.com", page(22), "c")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
