@@ -1,7 +1,8 @@
 """Secret scans: candidates by a pattern, false positives removed by a random forest. Spark expressions only.
 
-Candidates are runs of LEAST or more key characters with a digit in them or the beginning of a well-known key. A text is split where candidates begin and end, which keeps
-their positions and neighbours. Features of each candidate: its length, shares and changes of character classes, how
+Candidates are runs of LEAST or more key characters with a digit in them or the beginning of a well-known key, and after a
+word that asks for a secret every run of SHORT or more; "=" belongs to a run only as padding at its end, so NAME=value is
+a name before a value. A text is split where candidates begin and end, which keeps their positions and neighbours. Features of each candidate: its length, shares and changes of character classes, how
 much of it common word fragments cover, entropy, whether it lies in a path, and the words before it. The forest is
 trained here from labelled findings (made by rule, ``labelled_findings``) whose features the same expressions compute;
 its trees are flat literal arrays that a nested aggregate walks, so scoring stays in the JVM.
@@ -20,15 +21,17 @@ from pyspark.sql import functions as F
 
 from .common import only
 
-LEAST = 16
-KEY = r"A-Za-z0-9+/_=\-"
-CUT = rf"(?<![{KEY}])(?=[{KEY}]{{{LEAST}}})|(?<=[{KEY}]{{{LEAST}}})(?![{KEY}])"
+LEAST, SHORT = 16, 6
+KEY = r"A-Za-z0-9+/_\-"
+PAD = rf"={{1,2}}(?![{KEY}=])"
+CUT = rf"(?<![{KEY}])(?=[{KEY}]{{{LEAST}}})|(?<=[{KEY}]{{{LEAST}}})(?![{KEY}]|{PAD})|(?<=[{KEY}]{{{LEAST}}}={{1,2}})(?![{KEY}=])"
 # How keys of well-known services begin.
 PREFIX = "(AKIA|ASIA|AIza|ghp_|gho_|ghs_|glpat-|sk_live_|sk_test_|sk-|rk_live_|xoxb-|xoxp-|npm_|pypi-|hf_|SG-)"
-CANDIDATE = rf"^(?=.*[0-9]|{PREFIX})[{KEY}]{{{LEAST},}}$"
-#: A text without this has no candidate: a digit within a long run, looked for without splitting.
-HINT = rf"[{KEY}]{{{LEAST},}}"
+CANDIDATE = rf"^(?=.*[0-9]|{PREFIX})[{KEY}]{{{LEAST},}}={{0,2}}$"
+ASKED = rf"^[{KEY}]{{{SHORT},}}={{0,2}}$"
 BEFORE, AFTER = 40, 16
+#: Pieces of runs (SHORT or more) and what parts them (1 or more), by turns, that have BEFORE characters.
+BACK = 2 * -(-BEFORE // (SHORT + 1))
 MASK = "[SECRET]"
 THRESHOLD = 0.5
 
@@ -40,7 +43,14 @@ FRAGMENTS = (
     "the ing ed er on an in re th he en at es or st nd ti ou it is al ar te se ro le de ri ne ic me co la li ra"
 ).split()
 _DICT = "(" + "|".join(sorted(set(FRAGMENTS), key=lambda w: (-len(w), w))) + ")"
-ASKS = r"(?i)(token|secret|passw(or)?d|pwd|passphrase|api.?key|access.?key|private.?key|credential|auth|bearer|session.?key|signing.?key|client.?key)[\w\-]{0,12}[\"'\s:=>(]{0,6}$"
+_WORDS = "(token|secret|passw(or)?d|pwd|passphrase|api.?key|access.?key|private.?key|credential|auth|bearer|session.?key|signing.?key|client.?key)"
+ASKS = rf"(?i){_WORDS}[\w\-]{{0,12}}[\"'\s:=>(]{{0,6}}$"
+#: Of short runs, which only an asking word makes candidates: the beginning, and the end.
+_ASKING = rf"(?i:{_WORDS}[\w\-]{{0,12}}[\"'\s:=>(]{{1,6}})"
+CUT_ASKED = rf"{CUT}|(?<![{KEY}])(?=[{KEY}]{{{SHORT}}})(?<={_ASKING})|(?<=[{KEY}]{{{SHORT}}})(?![{KEY}]|{PAD})(?<={_ASKING}[{KEY}]{{{SHORT},{LEAST - 1}}})|(?<=[{KEY}]{{{SHORT}}}={{1,2}})(?![{KEY}=])(?<={_ASKING}[{KEY}]{{{SHORT},{LEAST - 1}}}={{1,2}})"
+#: Texts without these have no candidate, looked for without splitting: a long run, a run after an asking word.
+HINT = rf"[{KEY}]{{{LEAST},}}"
+HINT_ASKED = rf"{_ASKING}[{KEY}]{{{SHORT}}}"
 DENIES = r"(?i)(sha-?\d*|md5|checksum|commit|revision|integrity|digest|hash|etag|uuid|guid|fingerprint|version|build|blob|tree|base64,|order|invoice|phone|card|isbn|doi|href|src)[\w\-]{0,8}[\"'\s:=(/.#]{0,6}$"
 FILLER = r"(?i)(x{4}|0{6}|1234|abcd|example|changeme|dummy|placeholder|your|sample|(.)\2{4})"
 
@@ -85,6 +95,11 @@ def labelled_findings(seed: int = 7, each: int = 60) -> list[tuple[str, str, str
         # keys that stand without a name
         out.append((lead() + r.choice(("", '"', "= ")), r.choice(("sk_live_", "ghp_", "glpat-", "xoxb-")) + draw(alnum, r.randint(20, 36)), r.choice(tails), 1))
         out.append((lead() + r.choice(("", "", '"')), r.choice(("AKIA", "ASIA")) + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), r.choice(tails), 1))
+        # short ones and ones without a digit, which only a name makes candidates
+        for make in (lambda: draw(alnum, r.randint(8, 15)), lambda: compound(1) + draw("0123456789", r.randint(1, 3)) + r.choice(("", compound(1))), lambda: draw(alnum[:52], r.randint(16, 40))):
+            out.append((lead() + r.choice(ends[:5])(r.choice(names)), make(), r.choice(tails[:6]), 1))
+        for before, c in ((r.choice(names) + " ", compound(r.randint(2, 4))), (r.choice(names) + " ", compound(2)), (r.choice(ends[2:4])(r.choice(names)), compound(r.randint(2, 3))), (r.choice(ends)(r.choice(names)), r.choice(("changeme", "your_password", "example", "xxxxxxxx", "placeholder", "your-secret-here")))):
+            out.append((lead() + before, c, r.choice((" ", " ", "\n", ";")), 0))
         uuid = "-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12))
         for before, c in (
             (r.choice(ends)(r.choice(other)), draw(hexa, r.choice((32, 40, 64)))), (r.choice(ends)(r.choice(other)), uuid), ("", compound(r.randint(5, 9)) + str(r.randint(0, 9))), ("", "_".join(compound(2) for _ in range(3)) + str(r.randint(1, 99))),
@@ -174,27 +189,32 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None
     return _trained[key]
 
 
+def _hinted(text: Column) -> Column:
+    return text.rlike(HINT) | text.rlike(HINT_ASKED)
+
+
 def _pieces(text: Column) -> Column:
-    """The text in pieces, candidates apart; only texts with a hint are split."""
-    return F.when(text.rlike(HINT), F.split(text, CUT)).otherwise(F.array(text))
+    """The text in pieces, candidates apart."""
+    return F.when(text.rlike(HINT_ASKED), F.split(text, CUT_ASKED)).otherwise(F.split(text, CUT))
 
 
 def _scored(pieces: Column, forest: Forest) -> Column:
     """For each piece the forest's score, null where it is no candidate."""
 
     def one(p, i):
-        before = F.right(F.coalesce(F.get(pieces, i - 1), F.lit("")), F.lit(BEFORE))
+        # the name may be a piece of its own: enough pieces for BEFORE characters
+        before = F.right(F.array_join(F.slice(pieces, F.greatest(i - BACK, F.lit(0)) + 1, F.least(i, F.lit(BACK))), ""), F.lit(BEFORE))
         after = F.left(F.coalesce(F.get(pieces, i + 1), F.lit("")), F.lit(AFTER))
         made = F.transform(F.array(F.struct(p.alias("c"), before.alias("b"), after.alias("a"))), lambda s: forest.expression(F.array(*features(s["c"], s["b"], s["a"]))))
-        return F.when(p.rlike(CANDIDATE), F.get(made, F.lit(0)))
+        return F.when(p.rlike(CANDIDATE) | (p.rlike(ASKED) & before.rlike(ASKS)), F.get(made, F.lit(0)))
 
     return F.transform(pieces, one)
 
 
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, secret, score, is_secret: every candidate with the forest's verdict. No shuffle, no Python."""
-    rows = only(docs, doc_id=id_col, text=text_col).where(F.col("text").rlike(HINT)).select("doc_id", F.split("text", CUT).alias("pieces"))
-    rows = rows.where(F.exists("pieces", lambda p: p.rlike(CANDIDATE)))
+    rows = only(docs, doc_id=id_col, text=text_col).where(_hinted(F.col("text"))).select("doc_id", _pieces(F.col("text")).alias("pieces"))
+    rows = rows.where(F.exists("pieces", lambda p: p.rlike(CANDIDATE) | p.rlike(ASKED)))
     scored = rows.select("doc_id", "pieces", _scored(F.col("pieces"), forest).alias("scores"), F.transform("pieces", lambda p: F.length(p)).alias("sizes"))
     at = F.aggregate(F.slice("sizes", 1, F.col("pos")), F.lit(0), lambda a, n: a + n)
     found = scored.select("doc_id", "pieces", "sizes", F.posexplode("scores").alias("pos", "score")).where("score is not null")
@@ -204,7 +224,7 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """docs with every confirmed secret replaced by MASK, and the length column brought up to date."""
     text = F.col(text_col)
-    some = text.rlike(HINT)
-    whole = F.transform(F.array(F.split(text, CUT)), lambda ps: F.array_join(F.zip_with(ps, _scored(ps, forest), lambda p, s: F.when(s >= THRESHOLD, F.lit(MASK)).otherwise(p)), ""))
+    some = _hinted(text)
+    whole = F.transform(F.array(_pieces(text)), lambda ps: F.array_join(F.zip_with(ps, _scored(ps, forest), lambda p, s: F.when(s >= THRESHOLD, F.lit(MASK)).otherwise(p)), ""))
     out = docs.withColumn(text_col, F.when(some, F.get(whole, F.lit(0))).otherwise(text))
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col and chars_col in docs.columns else out
