@@ -29,15 +29,19 @@ PARTS, HELD = 5, 0
 THRESHOLD = 0.3
 
 _RUNS = re.compile(r"[^\W\d_]+|\d+|(\W)\1*", re.S)
-_shapes: dict[str, str] = {}
+#: Longer words, and words of more marks, are several shapes, one after another.
+CHARS, MARKS = 200, 6
+_shapes: dict[str, list[str]] = {}
 
 
-def shape(word: str) -> str:
-    """Letters by case, digits, and runs of one symbol, each as one mark: 'The' -> 'Aa', 'end###' -> 'a#+'."""
+def shapes_of(word: str) -> list[str]:
+    """Letters by case, digits, and runs of one symbol, each as one mark: 'The' -> 'Aa', 'end###' -> 'a#+'. The whole word counts."""
+    if len(word) > CHARS:
+        return [s for at in range(0, len(word), CHARS) for s in shapes_of(word[at : at + CHARS])]
     got = _shapes.get(word)
     if got is None:
         marks = []
-        for m in _RUNS.finditer(word[:200]):
+        for m in _RUNS.finditer(word):
             run = m.group()
             if run[0].isalpha():
                 marks.append("a" if run.islower() else "A" if run.isupper() and len(run) > 1 else "Aa" if run[0].isupper() else "x")
@@ -45,13 +49,18 @@ def shape(word: str) -> str:
                 marks.append("0")
             else:
                 marks.append(run[0] + "+" * (len(run) > 1))
-        got = "".join(marks[:6])
+        got = ["".join(marks[at : at + MARKS]) for at in range(0, max(len(marks), 1), MARKS)]
         if len(_shapes) > 200_000:
             _shapes.clear()
         _shapes[word] = got
     return got
 
 
+def shape(word: str) -> str:
+    """The first shape of a word."""
+    return shapes_of(word)[0]
+
+
 _ids: dict[tuple, int] = {}
 
 
@@ -69,7 +78,7 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = (text or "").split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    shapes = [shape(w) for w in words]
+    shapes = [s for w in words for s in shapes_of(w)]
     found = [_bucket(s) for s in shapes]
     found += [_bucket(a, b) for a, b in zip(shapes, shapes[1:], strict=False)]
     same = sum(a == b for a, b in zip(words, words[1:], strict=False))

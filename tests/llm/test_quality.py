@@ -91,3 +91,10 @@ def test_knn_query(spark):
 
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
     assert all(0 <= r["score"] <= 1 for r in K.classify(docs, K.fit(docs, labels.limit(0))).collect())
+
+
+def test_texts_without_spaces_count_whole():
+    same = lambda a, b: [v.tolist() for v in K.terms(a)] == [v.tolist() for v in K.terms(b)]
+    assert not same("词语，" * 2000, "词语，" * 1000 + "Ab1;" * 1000)
+    assert not same("a,b;c.d", "a,b;c.!") and not same("x" * 200 + "y" * 100, "x" * 200 + "#" * 100)
+    assert K.shapes_of("end###") == ["a#+"] and len(K.shapes_of("a" * 450)) == 3
