@@ -2,10 +2,12 @@
 
 A pair of neighbouring symbols that occurs inside no vocabulary token can never be joined by a merge, nor can any
 merge reach across it. Every such pair in a word is a certain cut: the fragments between cuts are encoded on their
-own, looked up in a bounded cache, and concatenated.
+own, looked up in a cache bounded in bytes and dropped when the task ends, and concatenated.
 
 Defined results: a null text encodes like the empty one (no tokens); texts of any length are encoded whole; special
-token strings inside a text become their ids, as the tokenizer file says; repeated rows give repeated results.
+token strings inside a text become their ids, as the tokenizer file says; repeated rows give repeated results, in the
+order of the input; no rows give no rows; ids of any type, null or not, are passed on; other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import json
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 
 import regex
 import tokenizers
@@ -25,8 +28,8 @@ from pyspark.sql import DataFrame
 from .common import map_rows, only
 
 END = "</w>"
-#: Runs kept with their encodings in one generation of a worker's cache; there are two.
-CACHE = 250_000
+#: Bytes of one generation of a worker's caches, of which there are two: of runs, and of fragments.
+RUNS, FRAGMENTS = 12 << 20, 4 << 20
 NONE = 1 << 60
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -80,6 +83,26 @@ def piece_pattern(pattern: str) -> str:
     )
 
 
+class Kept(dict):
+    """Values by key in two generations of ``limit`` bytes each, about: what is asked for again stays, the rest goes."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.size, self.older = limit, 0, {}
+
+    def add(self, key, value, size: int):
+        if self.size + size > self.limit:
+            self.older, self.size = dict(self), 0
+            self.clear()
+        self[key] = value
+        self.size += size
+        return value
+
+    def drop(self) -> None:
+        self.clear()
+        self.older, self.size = {}, 0
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder of a tokenizer file whose words end in a suffix symbol (read once a worker)."""
 
@@ -106,10 +129,14 @@ class ForcedBoundaryBPE:
         for token in self.ids:
             s = [self.ids[x] for x in self.symbols_of(token)]
             self.inside.update(a << 17 | b for a, b in zip(s, s[1:], strict=False))
-        self.fragments: dict[tuple[int, ...], tuple[int, ...]] = {}
-        #: encodings of runs without white space, in two generations
-        self.chunks: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.fragments: dict[tuple[int, ...], tuple[int, ...]] = Kept(FRAGMENTS)
+        #: number of tokens and ids, joined by a space, of runs without white space
+        self.chunks: dict[str, tuple[int, str]] = Kept(RUNS)
+
+    def release(self) -> None:
+        """Drops what was kept of the texts so far; the vocabulary stays."""
+        self.fragments.drop()
+        self.chunks.drop()
 
     @staticmethod
     def symbols_of(token: str) -> list[str]:
@@ -138,11 +165,14 @@ class ForcedBoundaryBPE:
     def merge(self, fragment: tuple[int, ...]) -> tuple[int, ...]:
         if len(fragment) == 1:
             return fragment
-        got = self.fragments.get(fragment)
+        kept = self.fragments
+        got = kept.get(fragment)
         if got is None:
-            if len(self.fragments) >= CACHE:
-                self.fragments.clear()
-            got = self.fragments[fragment] = self._scan(list(fragment)) if len(fragment) <= 48 else self._heap(list(fragment))
+            got = kept.older.get(fragment)
+            if got is None:
+                got = self._scan(list(fragment)) if len(fragment) <= 48 else self._heap(list(fragment))
+            if len(fragment) <= 256:
+                kept.add(fragment, got, 250 + 36 * (len(fragment) + len(got)))
         return got
 
     def _scan(self, sym: list[int]) -> tuple[int, ...]:
@@ -187,30 +217,28 @@ class ForcedBoundaryBPE:
             out += self.merge(f)
         return out
 
-    def _learn(self, chunk: str) -> tuple[int, str, str]:
-        got = self.older.get(chunk)
+    def _learn(self, chunk: str) -> tuple[int, str]:
+        got = self.chunks.older.get(chunk)
         if got is None:
             ids = [i for piece in self.pieces(chunk) for i in self.encode_word(piece)]
-            got = (len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]))
+            got = (len(ids), " ".join(map(str, ids)))
         if len(chunk) <= 64:
-            if len(self.chunks) >= CACHE:
-                self.older, self.chunks = self.chunks, {}
-            self.chunks[chunk] = got
+            self.chunks.add(chunk, got, 300 + len(chunk) * (1 if chunk.isascii() else 2) + len(got[1]))
         return got
 
-    def parts(self, text: str | None) -> list[tuple[int, str, str]]:
-        """(number of tokens, ids joined by a space, tokens joined by a space) of each run without white space and each
-        special token; runs without tokens are left out."""
+    def parts(self, text: str | None) -> list[tuple[int, str]]:
+        """(number of tokens, ids joined by a space) of each run without white space and each special token; runs without
+        tokens are left out."""
         out = []
         for k, segment in enumerate(self.cut_special(text or "")):
             if k % 2:
-                out.append((1, str(self.special[segment]), segment))
+                out.append((1, str(self.special[segment])))
             elif segment:
                 segment = self.normalise(segment)
                 # str.split takes four control characters for white space that the pattern takes for symbols
                 runs = segment.split() if not SEPARATORS.search(segment) else self.pieces(segment)
                 out += [self.chunks.get(run) or self._learn(run) for run in runs]
-        return [p for p in out if p[0]] if (0, "", "") in out else out
+        return [p for p in out if p[0]] if (0, "") in out else out
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for p in self.parts(text) for i in p[1].split()]
@@ -229,41 +257,50 @@ def tokenizer(path: str) -> ForcedBoundaryBPE:
     return _loaded[path]
 
 
+def _worker(path: str, batch: Callable[[ForcedBoundaryBPE, dict], dict]) -> Callable[[dict], dict]:
+    """batch(tokenizer, rows) with the worker's tokenizer, whose caches go when the task ends."""
+    t = tokenizer(path)
+
+    def run(rows: dict) -> dict:
+        return batch(t, rows)
+
+    run.release = t.release
+    return run
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>: the tokens of every whole text. Partitioned as the input is; no shuffle."""
 
-    def make():
-        t = tokenizer(path)
-        return lambda b: {"doc_id": b["doc_id"], "ids": [t.encode(x) for x in b["text"]]}
+    def batch(t, b):
+        return {"doc_id": b["doc_id"], "ids": [t.encode(x) for x in b["text"]]}
 
-    return map_rows(only(docs, doc_id=id_col, text=text_col), f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>", make)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_rows(only(docs, doc_id=id_col, text=text_col), f"doc_id {kind}, ids array<int>", lambda: _worker(path, batch))
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, text: the decoded ids (null ids: empty text)."""
 
-    def make():
-        t = tokenizer(path)
-        return lambda b: {"doc_id": b["doc_id"], "text": [t.decode(x or ()) for x in b["ids"]]}
+    def batch(t, b):
+        return {"doc_id": b["doc_id"], "text": [t.decode(x or ()) for x in b["ids"]]}
 
-    return map_rows(only(encoded, doc_id=id_col, ids=ids_col), f"doc_id {encoded.schema[id_col].dataType.simpleString()}, text string", make)
+    kind = encoded.schema[id_col].dataType.simpleString()
+    return map_rows(only(encoded, doc_id=id_col, ids=ids_col), f"doc_id {kind}, text string", lambda: _worker(path, batch))
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, encoded and decoded in one pass."""
-
-    def make():
-        t = tokenizer(path)
-
-        def one(text):
-            p = t.parts(text)
-            sha = lambda k: hashlib.sha256(" ".join([x[k] for x in p]).encode()).hexdigest()
-            return sum([x[0] for x in p]), sha(1), sha(2)
-
-        def batch(b):
-            n, a, d = zip(*map(one, b["text"]), strict=True) if b["text"] else ((), (), ())
-            return {"doc_id": b["doc_id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": d}
-
-        return batch
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text: encoded, and the ids decoded, in one pass."""
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+    def batch(t, b):
+        out = {"doc_id": b["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        for text in b["text"]:
+            ids = " ".join([p[1] for p in t.parts(text)])
+            listed = list(map(int, ids.split()))
+            out["n_tokens"].append(len(listed))
+            out["ids_sha256"].append(sha(ids))
+            out["decoded_sha256"].append(sha(t.decode(listed)))
+        return out
 
-    return map_rows(only(docs, doc_id=id_col, text=text_col), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_rows(only(docs, doc_id=id_col, text=text_col), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: _worker(path, batch))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -26,7 +27,10 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
-    """mapInArrow over column lists: ``make()`` is called once a task and returns batch -> batch of lists."""
+    """mapInArrow over column lists: ``make()`` is called once a task and returns batch -> batch of lists.
+
+    What ``make()`` returns may have a ``release``, called when the task ends: workers live on and must not keep caches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -34,11 +38,15 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dic
 
         out = to_arrow_schema(_parse_datatype_json_string(as_json))
         f = make()
-        for batch in batches:
-            # long texts: at most a few MB of Python objects at once
-            for part in _slices(batch):
-                got = f(part.to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(got[c.name], c.type) for c in out], schema=out)
+        try:
+            for batch in batches:
+                # long texts: at most a few MB of Python objects at once
+                for part in slices(batch):
+                    got = f(part.to_pydict())
+                    yield pa.RecordBatch.from_arrays([pa.array(got[c.name], c.type) for c in out], schema=out)
+        finally:
+            getattr(f, "release", lambda: None)()
+            trim()
 
     from pyspark.sql.types import StructType
 
@@ -46,31 +54,61 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dic
     return df.mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``limit`` bytes, one row at least."""
     n = batch.num_rows
     step = n if batch.nbytes <= limit else max(1, n * limit // batch.nbytes)
     for at in range(0, n, max(1, step)):
         yield batch.slice(at, step)
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the system, as the worker stays for the next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another libc
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (driver and
+    executors in one process, as in tests) gets a temporary one; on a cluster that is an error."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="factorloom-")
         sc.setCheckpointDir(at)
+        _drop_at_end(spark, f"file://{at}")
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at if "://" in at or at.startswith("file:") else f"file://{os.path.abspath(at)}"
 
 
+def _drop_at_end(spark: SparkSession, to: str) -> None:
+    """Deletes the folder when the driver's JVM ends: lazy results may read it until then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new place in the shared folder for an intermediate table; it goes when the driver ends."""
+    to = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _drop_at_end(spark, to)
+    return to
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, and Spark knows its size (it broadcasts small ones by its own check)."""
+    spark, to = df.sparkSession, fresh(df.sparkSession, name)
+    df.write.parquet(to)
+    return spark.read.schema(df.schema).parquet(to)
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder (survives lost executors, cuts the lineage)."""
+    """df, computed once and kept in the shared folder (survives lost executors, cuts the lineage; Spark's cleaner drops it)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

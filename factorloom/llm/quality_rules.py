@@ -11,9 +11,10 @@ equal results; with no labelled documents (or labels of one kind) the trees reje
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SPACES, labelled_sample, map_rows, only
+from .common import SPACES, labelled_sample, map_rows, only, slices, trim
 
 #: Labelled documents that the trees are grown on, at most.
 SAMPLE = 20_000
@@ -183,13 +184,15 @@ def judge(docs: DataFrame, model: BoostedTrees, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, model: BoostedTrees, text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
     """The rows of docs, all columns as they are, that pass: texts are judged where they lie."""
-    import pyarrow as pa
+    at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            stats = [document_stats(t) for t in texts]
-            score = model.score(np.array([s[1] for s in stats], float).reshape(len(stats), len(FEATURES)))
-            yield batch.filter(pa.array([not base_failed(s[0][0], s[0][4]) and bool(v >= keep_from) for s, v in zip(stats, score, strict=True)]))
+        for whole in batches:
+            for batch in slices(whole):
+                texts = batch.column(at).to_pylist()
+                stats = [document_stats(t) for t in texts]
+                score = model.score(np.array([s[1] for s in stats], float).reshape(len(stats), len(FEATURES)))
+                yield batch.filter(pa.array([not base_failed(s[0][0], s[0][4]) and bool(v >= keep_from) for s, v in zip(stats, score, strict=True)]))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
