@@ -118,6 +118,17 @@ def fold(column: str, parts: int) -> F.Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts))
 
 
+def hash_sample(rows: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """At most ``limit`` rows, those of smallest hash ``h`` of the columns named. A first cut by hash keeps somewhat more than
+    that in all, so that no task holds ``limit`` rows of its own."""
+    n = rows.count()
+    hashed = rows.withColumn("h", F.xxhash64(*by))
+    share = 1.2 * limit / max(n, 1) + 100 / max(n, 1)
+    if share < 1:
+        hashed = hashed.where(F.col("h") < F.lit(int(-(2**63) + share * 2**64)).cast("long"))
+    return hashed.orderBy("h", *by).limit(limit)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, parts: int = 0, held: int = 0) -> DataFrame:
     """At most ``limit`` labelled documents (doc_id, text, y), by hash order of the id, folds equal to ``held`` left out.
 
@@ -127,6 +138,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     own = labels.select(labels["doc_id"], labels[label].cast("int").alias("y")).where("doc_id is not null and y is not null")
     if parts:
         own = own.where(fold("doc_id", parts) != held)
-    picked = own.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "inner")
+    picked = hash_sample(own.groupBy("doc_id").agg(F.max("y").alias("y")), ["doc_id"], limit)
+    found = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "y")), "doc_id", "inner")
     return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")

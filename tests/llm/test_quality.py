@@ -62,35 +62,94 @@ def test_rules_query(spark):
     assert Q.judge(docs, none).where("kept").count() == 61 and Q.judge(docs.limit(0), none).count() == 0
 
 
+def test_scores_by_a_walk_from_node_to_node():
+    r = np.random.default_rng(6)
+    x = r.random((1500, len(Q.FEATURES)))
+    y = ((x[:, 2] + x[:, 4] * x[:, 0] < 0.7) ^ (r.random(1500) < 0.1)).astype(float)
+    m = Q.BoostedTrees(list(Q.FEATURES.values())).fit(x, y)
+    n = m.nodes
+    x[:20, 2] = n["threshold"][n["left"] != np.arange(len(n["left"]))][0]  # ties with a threshold go left
+    for row, got in zip(x[:200], m.score(x[:200]), strict=True):
+        total = m.prior
+        for at in m.roots:
+            while n["left"][at] != at:
+                at = n["left"][at] if row[n["feature"][at]] <= n["threshold"][at] else n["right"][at]
+            total += n["value"][at]
+        assert abs(got - 1 / (1 + np.exp(-total))) < 1e-12
+
+
+def test_rules_of_long_texts_and_null_ids(spark):
+    long = " ".join(f"word{k}" for k in range(60_000)) + "\nsame line\nsame line"
+    docs = spark.createDataFrame([(None, long, 1.0), (None, None, 1.0), (7, "a b c " * 30_000, 1.0)], "doc_id long, text string, kept double")
+    none = Q.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    out = Q.judge(docs, none)
+    assert sorted((r["n_words"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in out.collect()) == [(0, 0, 0, True, False), (60_004, 1, 0, False, True), (90_000, 0, 90_000, True, False)]
+    assert out.columns.count("kept") == 1 and Q.keep_good(docs, none).collect()[0]["text"] == long
+
+
+def voter(texts, y):
+    return K.Voter().fit([K.terms(t) for t in texts], np.array(y, np.float32))
+
+
 def test_votes_by_brute_force():
     r = random.Random(4)
     good = [" ".join("".join(r.choice("abcde") for _ in range(5)) for _ in range(40)) for _ in range(60)]
     all_texts = good + [t.replace(" ", "%%% ") for t in good]
-    y = np.array([1.0] * 60 + [0.0] * 60, np.float32)
-    v = K.Voter().fit(K.dense(all_texts), y)
+    # copies among the labelled rows, labelled otherwise: ties that the smaller place decides
+    y = [1] * 60 + [0] * 60
+    v = voter(all_texts + all_texts[:30] * 2, y + [0] * 60)
     some = all_texts[::7] + ["", None]
     got = v.score(some, block=5)
     for k, t in enumerate(some):
         if not t:
-            assert got[k] == np.float32(0.5)
+            assert got[k] == 0
             continue
-        z = v.project(K.dense([t]))[0]
-        cos = v.vectors @ z
-        near = np.argsort(-cos)[: K.NEIGHBOURS]
-        w = np.maximum(cos[near], 1e-6) ** K.POWER
-        assert abs(got[k] - (w * y[near]).sum() / w.sum()) < 1e-3
+        z = v.project(*K.terms(t))
+        cos = [round(float(c), 5) for c in np.round(v.vectors @ z, 5)]
+        near = sorted(range(len(cos)), key=lambda j: (-cos[j], j))[: K.NEIGHBOURS]
+        w = np.maximum(np.array([cos[j] for j in near]), 1e-6) ** K.POWER
+        assert abs(got[k] - (w * v.y[near]).sum() / w.sum()) < 1e-3
     assert ((got[:-2] >= 0.3) == np.array([k * 7 < 60 for k in range(len(some) - 2)])).all()
 
 
+def test_ties_go_to_the_first():
+    v = K.Voter()
+    r = np.random.default_rng(8)
+    for _ in range(50):
+        cos = np.round(r.random((3, 80)), 1)
+        for row, near in zip(cos, v.nearest(cos), strict=True):
+            assert set(near.tolist()) == set(sorted(range(80), key=lambda j: (-row[j], j))[: K.NEIGHBOURS])
+
+
+def test_space_is_that_of_the_largest_singular_values():
+    r = random.Random(5)
+    texts_ = [" ".join(r.choice(["red", "blue", "green"] if k % 2 else ["one", "two", "three"]) for _ in range(30)) for k in range(80)]
+    rows = [K.terms(t) for t in texts_]
+    v = K.Voter().fit(rows, np.ones(80, np.float32))
+    dense = np.zeros((80, K.WORDS + K.FORMS))
+    for k, (at, w) in enumerate(rows):
+        dense[k, at] = v._scaled(at, w)
+    want = np.linalg.svd(dense[:, dense.any(axis=0)], compute_uv=False)[:2]
+    assert np.allclose(np.linalg.norm(dense @ v.axes[:, :2], axis=0), want, rtol=1e-3)
+    # texts on one matter lie together, whatever their words
+    z = np.stack([v.project(*t) for t in rows])
+    assert (z[::2] @ z[::2].T).mean() > (z[::2] @ z[1::2].T).mean() + 0.1
+
+
 def test_knn_query(spark):
-    docs = spark.createDataFrame([(k, ("word other Third " if k % 2 else "w### o$$$ ") * 20) for k in range(100)] + [(100, None), (101, "")], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, quality int")
-    rows = K.classify(docs, K.fit(docs, labels)).collect()
-    assert all(r["predicted"] == r["doc_id"] % 2 for r in rows if r["doc_id"] < 100) and len(rows) == 102
+    docs = spark.createDataFrame([(k, ("word other Third " if k % 2 else "w### o$$$ ") * 20, 1, "c") for k in range(100)] + [(100, None, 1, "c"), (101, "", 1, "c"), (None, "word", 1, "c"), (3, "word other Third " * 20, 1, "c"), (102, "word other Third " * 30_000, 1, "c")], "doc_id long, text string, score int, at string")
+    labels = spark.createDataFrame([(k, k % 2, "c") for k in range(100)] + [(None, 1, "c"), (4, None, "c"), (5, 1, "c")], "doc_id long, quality int, text string")
+    out = K.classify(docs, K.fit(docs, labels))
+    rows = out.collect()
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and len(rows) == 105
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in rows if r["doc_id"] is not None and r["doc_id"] < 100)
+    of = {r["doc_id"]: r for r in rows}
+    assert of[100]["score"] == of[101]["score"] == 0 and of[102]["predicted"] == 1 and len({r["score"] for r in rows if r["doc_id"] == 3}) == 1
     import zlib
 
-    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows if r["doc_id"] is not None) and not of[None]["held_out"]
     assert all(0 <= r["score"] <= 1 for r in K.classify(docs, K.fit(docs, labels.limit(0))).collect())
+    assert K.classify(docs.limit(0), K.Voter()).count() == 0
 
 
 def test_texts_without_spaces_count_whole():
@@ -98,3 +157,4 @@ def test_texts_without_spaces_count_whole():
     assert not same("词语，" * 2000, "词语，" * 1000 + "Ab1;" * 1000)
     assert not same("a,b;c.d", "a,b;c.!") and not same("x" * 200 + "y" * 100, "x" * 200 + "#" * 100)
     assert K.shapes_of("end###") == ["a#+"] and len(K.shapes_of("a" * 450)) == 3
+    assert K.shapes_of("a" * 200 + "###999") != K.shapes_of("a" * 200) and K.shapes_of("a1a1a1###") != K.shapes_of("a1a1a1")
