@@ -1,14 +1,17 @@
 """Secret scans: candidates by a pattern, false positives removed by a random forest. Spark expressions only.
 
-Candidates are runs of LEAST or more key characters with a digit in them or the beginning of a well-known key, and after a
-word that asks for a secret every run of SHORT or more; "=" belongs to a run only as padding at its end, so NAME=value is
-a name before a value. A text is split where candidates begin and end, which keeps their positions and neighbours. Features of each candidate: its length, shares and changes of character classes, how
-much of it common word fragments cover, entropy, whether it lies in a path, and the words before it. The forest is
-trained here from labelled findings (made by rule, ``labelled_findings``) whose features the same expressions compute;
-its trees are flat literal arrays that a nested aggregate walks, so scoring stays in the JVM.
+Candidates are runs of LEAST or more key characters with a digit, three changes of case, or the beginning of a well-known
+key in them, and after a word that asks for a secret every run of SHORT or more; "=" belongs to a run only as padding at its
+end, so NAME=value is a name before a value. Keys of parts with dots between them have each long part as a candidate, which
+what stands before marks as such. A text is split where candidates begin and end, which keeps their positions and
+neighbours. Features of each candidate: its length, shares and changes of character classes, how much of it dictionary words
+cover, entropy, whether it lies in a path, and the words before it. The forest is trained here from labelled findings
+(``labelled_findings``: published formats of keys and of what is taken for keys, in varied places) whose features the same
+expressions compute; its trees are flat literal arrays that a nested aggregate walks, so scoring stays in the JVM.
 
 Defined results: null and empty texts have no findings; whole texts are scanned; repeated rows repeat their findings;
-starts count code points from 0.
+starts count code points from 0; a score of THRESHOLD itself is a secret; ids of any type, null or not, are passed on; no
+rows give no rows; other columns, whatever their names, are left out by ``scan`` and kept as they are by ``redact``.
 """
 
 from __future__ import annotations
@@ -26,23 +29,31 @@ KEY = r"A-Za-z0-9+/_\-"
 PAD = rf"={{1,2}}(?![{KEY}=])"
 CUT = rf"(?<![{KEY}])(?=[{KEY}]{{{LEAST}}})|(?<=[{KEY}]{{{LEAST}}})(?![{KEY}]|{PAD})|(?<=[{KEY}]{{{LEAST}}}={{1,2}})(?![{KEY}=])"
 # How keys of well-known services begin.
-PREFIX = "(AKIA|ASIA|AIza|ghp_|gho_|ghs_|glpat-|sk_live_|sk_test_|sk-|rk_live_|xoxb-|xoxp-|npm_|pypi-|hf_|SG-)"
-CANDIDATE = rf"^(?=.*[0-9]|{PREFIX})[{KEY}]{{{LEAST},}}={{0,2}}$"
+PREFIX = "(AKIA|ASIA|AIza|ghp_|gho_|ghs_|glpat-|sk_live_|sk_test_|sk-|rk_live_|xoxb-|xoxp-|npm_|pypi-|hf_|eyJ)"
+# Beginnings of keys in parts, up to a dot.
+PARTED = rf"(?:SG\.|eyJ[{KEY}]{{8,}}\.)(?:[{KEY}]+\.)?$"
+CASES = r"(?:(?:[^a-z]*+[a-z]++(?![A-Z]))*+[^a-z]*+[a-z]++){3}"  # each time a small letter before a capital one
+CANDIDATE = rf"^(?=[{KEY}]{{{LEAST},}}+={{0,2}}$)(?:{PREFIX}|.*[0-9]|{CASES})"
 ASKED = rf"^[{KEY}]{{{SHORT},}}={{0,2}}$"
 BEFORE, AFTER = 40, 16
 #: Pieces of runs (SHORT or more) and what parts them (1 or more), by turns, that have BEFORE characters.
 BACK = 2 * -(-BEFORE // (SHORT + 1))
 MASK = "[SECRET]"
+#: Pieces whose sizes are added together.
+BLOCK = 256
 THRESHOLD = 0.5
 
-# Fragments that make up most words of English and its neighbours, longer ones first.
-FRAGMENTS = (
-    "tion ment ness able ible ally ward ship hood less full ing ers ent and the for not you his her was are but all any can had one our out day get has him how man new now old see two way who did its let put say she too use "
-    "ver sch ich ein der die das und lich keit heit ung ion ant ter com con per pre pro dis mis sub sup ist ive ous ate ize ise est age ure ity ial ual ian ade ado ida ier eur eux aux ais ait oir ene ada ero era "
-    "file name data image page user test main index list item node type code text view time date path site host port load read write save send make take back down over under line link form field table value number string object array "
-    "the ing ed er on an in re th he en at es or st nd ti ou it is al ar te se ro le de ri ne ic me co la li ra"
+# Common words of prose and of names in programs, a small dictionary.
+DICTIONARY = (
+    "about access account action active address after again all and app area array author back base before best between big block body book box build button call can case change char check child city class clean click client close code "
+    "color column come common company config content control copy count country create current data date day default delete description did don down edit element end error event every example field file filter find first font for form "
+    "from full function get give good great group handle has have head height help here high home host how image index info input inside into item job key kind know label language last layout left length level life like line link list "
+    "load local long look main make manager map max member menu message method min mode model module month more most name new next node not note number object off one open option order other over own page part password path person place "
+    "point port position post press price process product project public quick random range read record remove request result return right row run save say school search secret see select send server service set show side site size some "
+    "sort source start state status step stop store street string style system table take test text that the their them then there they thing this time title token top total tree type under update url use user value version very view was "
+    "way week were what when where which who width will window with word work world write year you your"
 ).split()
-_DICT = "(" + "|".join(sorted(set(FRAGMENTS), key=lambda w: (-len(w), w))) + ")"
+_DICT = "(" + "|".join(sorted(set(DICTIONARY), key=lambda w: (-len(w), w))) + ")"
 _WORDS = "(token|secret|passw(or)?d|pwd|passphrase|api.?key|access.?key|private.?key|credential|auth|bearer|session.?key|signing.?key|client.?key)"
 ASKS = rf"(?i){_WORDS}[\w\-]{{0,12}}[\"'\s:=>(]{{0,6}}$"
 #: Of short runs, which only an asking word makes candidates: the beginning, and the end.
@@ -67,47 +78,82 @@ def features(c: Column, before: Column, after: Column) -> list[Column]:
     entropy = F.aggregate(kinds, F.lit(0.0), lambda a, k: a - (F.size(F.filter(chars, lambda x: x == k)) / n) * F.log2(F.size(F.filter(chars, lambda x: x == k)) / n))
     changes = (F.length(F.regexp_replace(c, r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])", " ")) - F.length(c)) / n
     covered = (n - F.length(F.regexp_replace(F.lower(c), _DICT, "")).cast("double")) / n
-    path = yes(before.rlike(r"[/\\.]$|://\S*$|www\.\S*$") | F.substring(after, 1, 1).isin("/", ".", "@") | c.rlike(r"/.*/.*/"))
+    parted = before.rlike(PARTED)
+    path = yes((before.rlike(r"[/\\.]$|://\S*$|www\.\S*$") & ~parted) | F.substring(after, 1, 1).isin("/", ".", "@") | c.rlike(r"/.*/.*/"))
     letters = F.regexp_replace(c, "[^A-Za-z]", "")
     vowels = F.length(F.regexp_replace(letters, "(?i)[^aeiou]", "")) / F.greatest(F.length(letters), F.lit(1))
     return [
         n, share("[0-9]"), share("[A-Z]"), changes.cast("double"), covered, yes(c.rlike(r"^([0-9a-f]+|[0-9A-F]+)$")), F.size(kinds) / n, entropy, path, yes(before.rlike(ASKS)),
-        yes(before.rlike(DENIES)), yes(before.rlike(r"[=:]\s*[\"'`]?$")), yes(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")), yes(c.rlike(FILLER)), share("[-_]"), vowels.cast("double"), yes(c.rlike("^" + PREFIX)),
+        yes(before.rlike(DENIES)), yes(before.rlike(r"[=:]\s*[\"'`]?$")), yes(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")), yes(c.rlike(FILLER)), share("[-_]"), vowels.cast("double"), yes(c.rlike("^" + PREFIX) | parted),
     ]
 
 
-def labelled_findings(seed: int = 7, each: int = 60) -> list[tuple[str, str, str, int]]:
-    """(before, candidate, after, 1 for a secret): made by rule, the same for a seed."""
+HEXA, UPPER, LOWER, DECIMAL = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ALNUM = UPPER + LOWER + DECIMAL
+# Published formats of keys, as parts of (letters, least, most) or plain text; the last ones need a name before.
+KEYS = {
+    "aws-id": ["AKIA", (UPPER + "234567", 16, 16)], "aws-session-id": ["ASIA", (UPPER + "234567", 16, 16)], "github": ["ghp_", (ALNUM, 36, 36)], "github-app": ["ghs_", (ALNUM, 36, 36)], "gitlab": ["glpat-", (ALNUM + "_-", 20, 20)],
+    "slack": ["xoxb-", (DECIMAL, 11, 12), "-", (DECIMAL, 12, 13), "-", (ALNUM, 24, 24)], "stripe": ["sk_live_", (ALNUM, 24, 34)], "google": ["AIza", (ALNUM + "_-", 35, 35)], "npm": ["npm_", (ALNUM, 36, 36)], "hub": ["hf_", (ALNUM, 34, 34)],
+    "token-header": ["eyJ", (ALNUM + "_-", 20, 40)], "pypi": ["pypi-AgEIcHlwaS5vcmc", (ALNUM + "_-", 50, 80)],
+}
+NAMED_KEYS = {
+    "hex-32": [(HEXA, 32, 32)], "hex-40": [(HEXA, 40, 40)], "hex-64": [(HEXA, 64, 64)], "hex-upper": [(HEXA.upper(), 40, 40)], "aws-secret": [(ALNUM + "+/", 40, 40)], "base64": [(ALNUM + "+/", 43, 43), "="], "alnum": [(ALNUM, 20, 48)],
+    "letters": [(UPPER + LOWER, 16, 40)], "short": [(ALNUM, 8, 15)], "hyphened": [(ALNUM, 6, 10), "-", (ALNUM, 6, 10), "-", (ALNUM, 6, 10)],
+}
+
+
+def labelled_findings(seed: int = 7, each: int = 40, without: tuple[str, ...] = ()) -> list[tuple[str, str, str, int, str]]:
+    """(before, candidate, after, 1 for a secret, format): the same for a seed. without: formats to leave out."""
     r = random.Random(seed)
-    hexa, alnum = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
-    names = ["token", "secret", "password", "api_key", "apiKey", "access_key", "client_secret", "auth_token", "private_key", "SECRET_KEY", "TOKEN", "bearer"]
-    other = ["sha1", "sha256", "commit", "md5", "checksum", "etag", "uuid", "revision", "build", "version", "integrity", "digest", "order", "card", "phone"]
-    words = [f for f in FRAGMENTS if len(f) > 2]
-    compound = lambda k: "".join(r.choice(words) for _ in range(k))
-    lead = lambda: " ".join(compound(r.randint(1, 3)) for _ in range(3)) + " "
-    ends = [lambda k: f'{k} = "', lambda k: f"{k}='", lambda k: f"{k}: ", lambda k: f"{k}=", lambda k: f'"{k}": "', lambda k: f"{k} "]
-    tails = ['" ', "' ", " ", ";", '",', "\n", '"### ', '"!! ']
+    made = lambda parts: "".join(p if isinstance(p, str) else draw(p[0], r.randint(p[1], p[2])) for p in parts)
+    words = [w for w in DICTIONARY if len(w) > 2 and w not in ("key", "password", "secret", "token")]
+    # words of no dictionary, as other languages have them
+    strange = lambda: "".join(draw("bcdfghklmnprstvz", 1) + draw("aeiou", 1) + r.choice(("", "n", "r", "s")) for _ in range(r.randint(1, 5)))
+    word = lambda: r.choice(words) if r.random() < 0.5 else strange()
+    prose = lambda k: " ".join(word() for _ in range(k)) + r.choice((" ", " ", ". ", ", ", "\n"))
+    asking = ["token", "secret", "password", "api_key", "apiKey", "access_key", "client_secret", "auth_token", "private_key", "SECRET_KEY", "TOKEN", "bearer", "DB_PASSWORD", "passwd", "credentials", "signing-key"]
+    denying = ["sha1", "sha256", "commit", "md5", "checksum", "etag", "uuid", "revision", "build", "version", "integrity", "digest", "order", "card", "phone", "isbn"]
+    assigns = [lambda k: f'{k} = "', lambda k: f"{k}='", lambda k: f"{k}: ", lambda k: f"{k}=", lambda k: f'"{k}": "', lambda k: f"{k} := `", lambda k: f"<{k}>", lambda k: f"{k} "]
+    # whatever may follow: the quote is closed or not, and any punctuation comes after
+    after = lambda before: (before[-1] if before and before[-1] in "\"'`" else "") + r.choice(("", "", r.choice(";,)]}<|:!?#*%&$~"), draw(";,)]}<|:!?#*%&$~", r.randint(2, 4)))) + r.choice((" ", " ", "\n", "")) + prose(1)
     out = []
+
+    def add(kind: str, before: str, c: str, y: int) -> None:
+        if kind not in without:
+            out.append((prose(3) + before, c, after(before), y, kind))
+
     for _ in range(each):
-        for make in (lambda: draw(hexa, r.choice((32, 40, 40, 48, 64))), lambda: draw(alnum, r.randint(20, 48)), lambda: draw(alnum + "+/", r.choice((40, 44, 64))) + r.choice(("", "=")), lambda: r.choice(("sk_live_", "ghp_", "xoxb-", "AKIA")) + draw(alnum, r.randint(16, 36)), lambda: draw(hexa, 40).upper()):
-            out.append((lead() + r.choice(ends)(r.choice(names)), make(), r.choice(tails), 1))
-        # keys that stand without a name
-        out.append((lead() + r.choice(("", '"', "= ")), r.choice(("sk_live_", "ghp_", "glpat-", "xoxb-")) + draw(alnum, r.randint(20, 36)), r.choice(tails), 1))
-        out.append((lead() + r.choice(("", "", '"')), r.choice(("AKIA", "ASIA")) + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), r.choice(tails), 1))
-        # short ones and ones without a digit, which only a name makes candidates
-        for make in (lambda: draw(alnum, r.randint(8, 15)), lambda: compound(1) + draw("0123456789", r.randint(1, 3)) + r.choice(("", compound(1))), lambda: draw(alnum[:52], r.randint(16, 40))):
-            out.append((lead() + r.choice(ends[:5])(r.choice(names)), make(), r.choice(tails[:6]), 1))
-        for before, c in ((r.choice(names) + " ", compound(r.randint(2, 4))), (r.choice(names) + " ", compound(2)), (r.choice(ends[2:4])(r.choice(names)), compound(r.randint(2, 3))), (r.choice(ends)(r.choice(names)), r.choice(("changeme", "your_password", "example", "xxxxxxxx", "placeholder", "your-secret-here")))):
-            out.append((lead() + before, c, r.choice((" ", " ", "\n", ";")), 0))
-        uuid = "-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12))
-        for before, c in (
-            (r.choice(ends)(r.choice(other)), draw(hexa, r.choice((32, 40, 64)))), (r.choice(ends)(r.choice(other)), uuid), ("", compound(r.randint(5, 9)) + str(r.randint(0, 9))), ("", "_".join(compound(2) for _ in range(3)) + str(r.randint(1, 99))),
-            ("https://" + compound(3) + ".com/", compound(3) + "/" + compound(3) + "/" + draw("0123456789", 6)), ("", draw("0123456789", r.randint(16, 20))), (r.choice(ends)(r.choice(names)), r.choice(("xxxxxxxxxxxxxxxx0", "your_api_key_here_123", "changeme1234567890", "0000000000000000", "example_token_12345"))),
-            ("/usr/" + compound(2) + "/", compound(2) + "-" + str(r.randint(1, 9)) + "-" + compound(3)), ("data:image/png;base64,", draw(alnum + "+/", r.randint(60, 90))), ("", "-".join(compound(1) for _ in range(5)) + "-20" + draw("0123456789", 2)), (r.choice(ends)("id"), draw("0123456789", 16)),
-            ("", "+".join(compound(2) for _ in range(3)) + "2"), (r.choice(ends)(r.choice(names)), compound(6) + "1"), (compound(2) + ".", draw(hexa, 20)), ("", draw(hexa, r.choice((32, 40)))),
-        ):
-            out.append((lead() + before, c, r.choice(tails), 0))
+        for kind, parts in KEYS.items():
+            key = made(parts)
+            if r.random() < 0.2:  # a known beginning counts for more than a stretch that looks like filler
+                key = key[:-8] + r.choice(("ABCD", "1234", "abcd")) + key[-4:]
+            add(kind, r.choice((r.choice(assigns)(r.choice(asking)), "", "", '"', "(", "key ")), key, 1)
+        for kind, parts in NAMED_KEYS.items():
+            add(kind, r.choice(assigns[:7])(r.choice(asking)), made(parts), 1)
+        add("password", r.choice(assigns[:6])(r.choice(asking)), r.choice((str.lower, str.capitalize))(word()) + draw(DECIMAL, r.randint(1, 3)) + r.choice(("", word())), 1)
+        add("dotted", "SG." + r.choice(("", draw(ALNUM + "_-", 22) + ".")), draw(ALNUM + "_-", r.choice((22, 43))), 1)
+        add("signed", "eyJ" + draw(ALNUM, 17) + "." + r.choice(("", draw(ALNUM + "_-", 30) + ".")), draw(ALNUM + "_-", r.randint(24, 60)), 1)
+        # what is taken for keys
+        for n in (32, 40, 64):
+            add("sum", r.choice(assigns)(r.choice(denying)), draw(HEXA, n), 0)
+        add("bare-sum", "", draw(HEXA, r.choice((32, 40, 64))), 0)
+        add("uuid", r.choice(("", r.choice(assigns)(r.choice(("id", *denying))))), "-".join(draw(HEXA, k) for k in (8, 4, 4, 4, 12)), 0)
+        add("integrity", r.choice(("integrity=", 'integrity="')) + "sha512-", draw(ALNUM + "+/", 86) + "==", 0)
+        add("data", "data:image/png;base64,", draw(ALNUM + "+/", r.randint(60, 90)), 0)
+        add("number", r.choice(("", r.choice(assigns)(r.choice(("id", "order", "card", "phone", "isbn"))))), draw(DECIMAL, r.randint(16, 20)), 0)
+        add("url", f"https://{strange()}.{word()}.com/", "/".join((word(), word() + word(), draw(DECIMAL, r.randint(4, 8)))), 0)
+        add("path", f"/usr/{word()}/", f"{word()}-{r.randint(1, 9)}-{word()}-{word()}", 0)
+        add("file", word() + ".", draw(HEXA, 20), 0)
+        add("constant", "", "_".join(word().upper() for _ in range(3)) + f"_{r.randint(1, 99)}", 0)
+        add("snake", "", "_".join(word() for _ in range(r.randint(3, 5))) + r.choice(("", "_2")), 0)
+        add("camel", r.choice(("", word() + ".")), word() + "".join(word().capitalize() for _ in range(r.randint(3, 5))), 0)
+        add("compound", "", "".join(strange() for _ in range(r.randint(4, 6))) + r.choice(("", str(r.randint(0, 9)))), 0)
+        add("slug", r.choice(("", "/")), "-".join(word() for _ in range(r.randint(4, 6))) + "-20" + draw(DECIMAL, 2), 0)
+        add("sums", "", "+".join(word() + word() for _ in range(3)) + "2", 0)
+        add("asked-word", r.choice(asking) + " ", r.choice((word() + word(), strange() + strange(), word() + "ment")), 0)
+        add("asked-name", r.choice(assigns[2:4])(r.choice(asking)), r.choice((word() + "_" + word(), word() + word().capitalize(), word() + word() + word())), 0)
+        add("filler", r.choice(assigns)(r.choice(asking)), r.choice(("x" * r.randint(8, 20), "0" * 16, "your_api_key_here_123", "changeme1234567890", "changeme", "example_token_12345", "your-secret-here", "placeholder", "your_password")), 0)
     return out
 
 
@@ -178,17 +224,23 @@ class Forest:
 _trained: dict[tuple, Forest] = {}
 
 
-def train(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None = None) -> Forest:
-    """From labelled findings (a bounded list); their features come from the same Spark expressions as those of the scan."""
+def train(spark: SparkSession, findings: list[tuple] | None = None) -> Forest:
+    """From labelled findings (before, candidate, after, label, ...), a bounded list; their features come from the same Spark
+    expressions as those of the scan."""
     key = tuple(findings) if findings is not None else ()
     if key not in _trained:
-        rows = spark.createDataFrame(findings if findings is not None else labelled_findings(), "before string, c string, after string, y int")
+        rows = spark.createDataFrame([f[:4] for f in (findings if findings is not None else labelled_findings())], "before string, c string, after string, y int")
         got = rows.select("y", F.array(*features(F.col("c"), F.right("before", F.lit(BEFORE)), F.left("after", F.lit(AFTER)))).alias("x"), "before", "c").collect()
         got.sort(key=lambda r: (r["before"], r["c"]))
         _trained[key] = Forest().fit(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float))
     return _trained[key]
 
 
+def let(value: Column, use) -> Column:
+    """use(value), value being computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _hinted(text: Column) -> Column:
     return text.rlike(HINT) | text.rlike(HINT_ASKED)
 
@@ -198,33 +250,49 @@ def _pieces(text: Column) -> Column:
     return F.when(text.rlike(HINT_ASKED), F.split(text, CUT_ASKED)).otherwise(F.split(text, CUT))
 
 
-def _scored(pieces: Column, forest: Forest) -> Column:
-    """For each piece the forest's score, null where it is no candidate."""
+def _score(pieces: Column, p: Column, i: Column, forest: Forest, use) -> Column:
+    """use(score) of piece p, number i; null where it is no candidate."""
+    # the name may be a piece of its own: enough pieces for BEFORE characters
+    before = F.right(F.array_join(F.slice(pieces, F.greatest(i - BACK, F.lit(0)) + 1, F.least(i, F.lit(BACK))), ""), F.lit(BEFORE))
+    after = F.left(F.coalesce(F.get(pieces, i + 1), F.lit("")), F.lit(AFTER))
+    made = let(F.struct(p.alias("c"), before.alias("b"), after.alias("a")), lambda s: let(F.array(*features(s["c"], s["b"], s["a"])), lambda x: let(forest.expression(x), use)))
+    return F.when(p.rlike(CANDIDATE) | (p.rlike(ASKED) & before.rlike(ASKS)), made)
+
+
+def _found(pieces: Column, forest: Forest) -> Column:
+    """Structs (start, length, secret, score) of the candidates. Starts are sums of the pieces' sizes by blocks of BLOCK, so
+    that a long text of very many pieces takes little more than its length."""
+    plus = lambda a, n: a + n
+
+    def walk(sizes: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0).cast("long"), plus))
+        starts = lambda bs: F.transform(bs, lambda _, k: F.aggregate(F.slice(bs, F.lit(1), k), F.lit(0).cast("long"), plus))
+
+        def one(starts: Column) -> Column:
+            def finding(p: Column, i: Column) -> Column:
+                block = F.floor(i / BLOCK).cast("int")
+                at = F.get(starts, block) + F.aggregate(F.slice(sizes, block * BLOCK + 1, i % BLOCK), F.lit(0).cast("long"), plus)
+                return _score(pieces, p, i, forest, lambda score: F.struct(at.alias("start"), F.length(p).cast("long").alias("length"), p.alias("secret"), score.alias("score")))
+
+            return F.filter(F.transform(pieces, finding), lambda x: x.isNotNull())
 
-    def one(p, i):
-        # the name may be a piece of its own: enough pieces for BEFORE characters
-        before = F.right(F.array_join(F.slice(pieces, F.greatest(i - BACK, F.lit(0)) + 1, F.least(i, F.lit(BACK))), ""), F.lit(BEFORE))
-        after = F.left(F.coalesce(F.get(pieces, i + 1), F.lit("")), F.lit(AFTER))
-        made = F.transform(F.array(F.struct(p.alias("c"), before.alias("b"), after.alias("a"))), lambda s: forest.expression(F.array(*features(s["c"], s["b"], s["a"]))))
-        return F.when(p.rlike(CANDIDATE) | (p.rlike(ASKED) & before.rlike(ASKS)), F.get(made, F.lit(0)))
+        return let(blocks, lambda bs: let(starts(bs), one))
 
-    return F.transform(pieces, one)
+    return let(F.transform(pieces, lambda p: F.length(p).cast("long")), walk)
 
 
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, secret, score, is_secret: every candidate with the forest's verdict. No shuffle, no Python."""
-    rows = only(docs, doc_id=id_col, text=text_col).where(_hinted(F.col("text"))).select("doc_id", _pieces(F.col("text")).alias("pieces"))
-    rows = rows.where(F.exists("pieces", lambda p: p.rlike(CANDIDATE) | p.rlike(ASKED)))
-    scored = rows.select("doc_id", "pieces", _scored(F.col("pieces"), forest).alias("scores"), F.transform("pieces", lambda p: F.length(p)).alias("sizes"))
-    at = F.aggregate(F.slice("sizes", 1, F.col("pos")), F.lit(0), lambda a, n: a + n)
-    found = scored.select("doc_id", "pieces", "sizes", F.posexplode("scores").alias("pos", "score")).where("score is not null")
-    return found.select("doc_id", at.cast("long").alias("start"), F.get("sizes", F.col("pos")).cast("long").alias("length"), F.get("pieces", F.col("pos")).alias("secret"), "score", (F.col("score") >= THRESHOLD).alias("is_secret"))
+    rows = only(docs, doc_id=id_col, text=text_col).where(_hinted(F.col("text")))
+    found = rows.select("doc_id", F.explode(let(_pieces(F.col("text")), lambda ps: _found(ps, forest))).alias("f"))
+    return found.select("doc_id", "f.start", "f.length", "f.secret", "f.score", (F.col("f.score") >= THRESHOLD).alias("is_secret"))
 
 
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """docs with every confirmed secret replaced by MASK, and the length column brought up to date."""
     text = F.col(text_col)
     some = _hinted(text)
-    whole = F.transform(F.array(_pieces(text)), lambda ps: F.array_join(F.zip_with(ps, _scored(ps, forest), lambda p, s: F.when(s >= THRESHOLD, F.lit(MASK)).otherwise(p)), ""))
-    out = docs.withColumn(text_col, F.when(some, F.get(whole, F.lit(0))).otherwise(text))
+    masked = lambda ps: F.transform(ps, lambda p, i: F.coalesce(_score(ps, p, i, forest, lambda s: F.when(s >= THRESHOLD, F.lit(MASK))), p))
+    whole = let(_pieces(text), lambda ps: F.array_join(masked(ps), ""))
+    out = docs.withColumn(text_col, F.when(some, whole).otherwise(text))
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col and chars_col in docs.columns else out

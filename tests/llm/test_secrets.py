@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 
 from factorloom.llm import secrets as S
 
@@ -12,7 +13,7 @@ def test_scan_by_brute_force(spark):
     forest = S.train(spark)
     got = sorted(tuple(r) for r in S.scan(df, forest).collect())
     cand = re.compile(r"(?<![A-Za-z0-9+/_=\-])[A-Za-z0-9+/_=\-]{16,}")
-    found = [(k, m.start(), len(m.group()), m.group(), t) for k, t in [*enumerate(texts), (3, texts[3])] for m in cand.finditer(t or "") if re.search(f"[0-9]|^{S.PREFIX}", m.group())]
+    found = [(k, m.start(), len(m.group()), m.group(), t) for k, t in [*enumerate(texts), (3, texts[3])] for m in cand.finditer(t or "") if re.search(f"[0-9]|^{S.PREFIX}|(.*?[a-z][A-Z]){{3}}", m.group())]
     assert sorted((k, a, n, c) for k, a, n, c, _ in found) == [r[:4] for r in got]
     # the forest's numpy walk over the same features gives the same scores
     rows = spark.createDataFrame([(t[:a], c, t[a + n :]) for _, a, n, c, t in found], "b string, c string, a string")
@@ -47,9 +48,50 @@ def test_no_python_in_the_plan(spark):
         assert not re.search("Python|Arrow|Pandas", d._jdf.queryExecution().executedPlan().toString())
 
 
+def featured(spark, findings):
+    F = S.F
+    rows = spark.createDataFrame([(k, *f[:4]) for k, f in enumerate(findings)], "k int, b string, c string, a string, y int")
+    x = rows.select("k", F.array(*S.features(F.col("c"), F.right("b", F.lit(S.BEFORE)), F.left("a", F.lit(S.AFTER)))).alias("x")).orderBy("k").collect()
+    return np.array([r["x"] for r in x]), np.array([f[3] for f in findings], float)
+
+
 def test_forest_is_right_on_fresh_findings(spark):
-    F, forest = S.F, S.train(spark)
-    rows = spark.createDataFrame(S.labelled_findings(seed=99, each=15), "b string, c string, a string, y int")
-    x = rows.select("y", F.array(*S.features(F.col("c"), F.right("b", F.lit(S.BEFORE)), F.left("a", F.lit(S.AFTER)))).alias("x")).collect()
-    s, y = forest.score(np.array([r["x"] for r in x])) >= 0.5, np.array([r["y"] for r in x]) == 1
-    assert (s == y).mean() > 0.93
+    x, y = featured(spark, S.labelled_findings(seed=99, each=15))
+    s = S.train(spark).score(x) >= S.THRESHOLD
+    assert s[y == 1].mean() > 0.95 and s[y == 0].mean() < 0.05
+
+
+@pytest.mark.parametrize("formats", [("npm", "hub", "gitlab"), ("hex-64", "base64", "dotted"), ("stripe", "slack", "aws-secret"), ("signed", "short", "google"), ("url", "path", "file"), ("uuid", "slug", "integrity")])
+def test_formats_that_were_held_out(spark, formats):
+    fresh = [f for f in S.labelled_findings(seed=99, each=20) if f[4] in formats]
+    x, y = featured(spark, fresh)
+    s = S.Forest().fit(*featured(spark, S.labelled_findings(without=formats))).score(x) >= S.THRESHOLD
+    assert (s == (y == 1)).mean() > 0.85
+
+
+def test_scores_at_the_threshold(spark):
+    always = S.Forest()
+    always.roots, always.nodes = [0, 1], [(-1, 0.0, 0, 0, 1.0), (-1, 0.0, 1, 1, 0.0)]
+    df = spark.createDataFrame([(None, "token = 0f3e0f3e0f3e0f3e", 1, "c")], "doc_id string, text string, score int, start string")
+    got = S.scan(df, always).collect()
+    assert [(r["score"], r["is_secret"]) for r in got] == [(S.THRESHOLD, True)]
+    out = S.redact(df, always, chars_col=None)
+    assert out.columns == df.columns and out.first()["text"] == f"token = {S.MASK}" and out.first()["start"] == "c"
+
+
+def test_long_text_of_many_pieces(spark):
+    key = "ghp_" + "a1B2c3D4e5F6" * 3
+    text = "".join(f"line {k} has 0123456789abcdef{k:06d} in it\n" for k in range(20_000)) + f"token = {key}"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = S.scan(df, S.train(spark)).collect()
+    assert len(got) == 20_001 and all(text[r["start"] : r["start"] + r["length"]] == r["secret"] for r in got)
+    assert [r["is_secret"] for r in got if r["secret"] == key] == [True]
+    assert S.redact(df, S.train(spark), chars_col=None).first()["text"].endswith(f"token = {S.MASK}")
+
+
+def test_letters_only_and_keys_in_parts(spark):
+    body = ["sQmZpLxTvBnKrYsDfGhJwC", "k3JdLq0vRtYbNm5sXzPwUa-8cEhGfT1iOo2_yWn4lQe"]
+    texts = [f"x = '{body[0]}' y", f"uses SG.{body[0]}.{body[1]} now", "DonaudampfschifffahrtsgesellschaftskapitaenUndMehr so"]
+    got = S.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), S.train(spark)).collect()
+    assert {(r["doc_id"], r["secret"]) for r in got} == {(0, body[0]), (1, body[0]), (1, body[1])}
+    assert all(r["is_secret"] for r in got if r["doc_id"] == 1)
