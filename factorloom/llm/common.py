@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six white-space bytes between words; a word is a run of anything else.
@@ -113,6 +113,27 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def running(df: DataFrame, order: list[str], sums: list[str], name: str) -> DataFrame:
+    """df with ``row``, the number of each row from 0 in the order of the columns named (which must tell all rows apart), and
+    ``<sum>_before`` for each column of ``sums``, the sum over all rows before it.
+
+    Rows are ranged by the order over all partitions and kept as a table; only a count and the sums of each partition, one
+    row a partition, meet in one place.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), name)
+    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    told = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums])
+    # a row for each partition
+    starts = told.select("part", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("p_row"), *[F.coalesce(F.sum(c).over(whole), F.lit(0)).alias(f"p_{c}") for c in sums])
+    own = Window.partitionBy("part").orderBy(*order)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = ranged.withColumns({"row": F.row_number().over(own) - 1} | {f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums})
+    joined = numbered.join(F.broadcast(starts), "part")
+    return joined.select(*df.columns, (F.col("row") + F.col("p_row")).alias("row"), *[(F.col(f"{c}_before") + F.col(f"p_{c}")).alias(f"{c}_before") for c in sums])
+
+
 def fold(column: str, parts: int) -> F.Column:
     """crc32 of the id as text, modulo parts: the fixed folds of the labelled rows."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts))

@@ -92,20 +92,22 @@ l as (select *, (3 * total - 4 * coalesce(sum(source_size) over (order by rn row
 cut as (select level, rn from l where level * weight <= 2 * source_size order by rn limit 1),
 t as (select l.source, l.source_size, l.weight, (case when cut.rn is null or l.rn < cut.rn then 2.0 * l.source_size else cut.level * l.weight end)::double as target from l left join cut on true),
 c as (select *, least(case when source_size > 0 then floor(target / source_size) else 0 end, 2)::bigint as whole from t),
-f as (select *, case when whole < 2 and source_size > 0 then target / source_size - whole else 0 end as chance from c),
+f as (select c.*, n.filled, case when whole < 2 and source_size > 0 then target / source_size - whole else 0 end as chance
+      from c join (select source, count(*) filter (size > 0) as filled from d group by source) n on n.source is not distinct from c.source),
 r as (select d.doc_id, d.size, d.key, f.*, (('0x' || substr(d.key, 1, 13))::bigint + 0.5) / 4503599627370496.0 as u from d join f on d.source is not distinct from f.source),
-q as (select *, case when chance > 0 then (u / (1 - u)) / (chance / (1 - chance)) end as q, size * 1000 > source_size as big from r),
-big as (select source, key, any_value(chance) as chance, sum(size) as mass, row_number() over (partition by source order by any_value(q), key) as k, sum(sum(size)) over (partition by source) as all_mass
-        from q where chance > 0 and size > 0 and big group by source, key),
-g(source, k, room, taken) as (
-  select source, 0::bigint, (any_value(chance) * any_value(all_mass))::double, null::varchar from big group by source
+q as (select *, case when chance > 0 and size > 0 then (u / (1 - u)) / (chance / (1 - chance) * sqrt(size / (source_size / filled))) end as q from r),
+m as (select source, q, key, sum(size)::bigint as mass, any_value(target - whole * source_size) as room, any_value(target / 1000) as near from q where q is not null group by source, q, key),
+o2 as (select *, row_number() over (partition by source order by q, key) as k from m),
+g(source, k, room, taken, place, mass) as (
+  select source, 0::bigint, any_value(room)::double, null::varchar, 0::bigint, 0::bigint from o2 group by source
   union all
-  select g.source, b.k, case when b.mass <= g.room then g.room - b.mass else g.room end, case when b.mass <= g.room then b.key end
-  from g join big b on b.source is not distinct from g.source and b.k = g.k + 1),
-won as (select g.source, g.taken as key, b.mass from g join big b on b.source is not distinct from g.source and b.k = g.k where g.taken is not null),
-free as (select f.source, f.target - f.whole * f.source_size - coalesce((select sum(mass) from won where won.source is not distinct from f.source), 0) as room from f where chance > 0),
-small as (select source, q, key, sum(size) as mass from q where chance > 0 and size > 0 and not big group by source, q, key),
-upto as (select small.source, small.key, sum(mass) over (partition by small.source order by q, key) as upto, room from small join free on free.source is not distinct from small.source),
-more as (select key from upto where upto <= room union all select key from won)
-select doc_id, size, source_size, target, (size * (whole + case when key in (select key from more) then 1 else 0 end))::bigint as taken from q
+  select g.source, o2.k, case when o2.mass <= g.room and g.room > near then g.room - o2.mass else g.room end,
+         case when o2.mass <= g.room and g.room > near then o2.key end, o2.k, o2.mass
+  from g join o2 on o2.source is not distinct from g.source and o2.k = g.k + 1),
+short as (select source, min(room) as short from g group by source),
+rest as (select g.source, o2.key, row_number() over (partition by g.source order by o2.mass, o2.k) as j
+         from g join o2 on o2.source is not distinct from g.source and o2.k = g.k join short on short.source is not distinct from g.source
+         where taken is null and short > near and o2.mass < 2 * short),
+more as (select source, taken as key from g where taken is not null union all select source, key from rest where j = 1)
+select doc_id, size, source_size, target, (size * (whole + case when exists (select 1 from more where more.key = q.key and more.source is not distinct from q.source) then 1 else 0 end))::bigint as taken from q
 """

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from collections import defaultdict
 
@@ -39,27 +40,22 @@ def brute(rows):
                 taken[k] = whole * size[k]
                 if size[k]:
                     groups[hashlib.md5(f"{'' if d is None else d}|{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()].append(k)
-        rank = lambda key: ((u := (int(key[:13], 16) + 0.5) / 16**13) / (1 - u)) / (f / (1 - f))  # noqa: E731, B023
         if f <= 0:
             continue
-        ranked = sorted(groups, key=lambda key: (rank(key), key))
-        large = [g for g in ranked if size[groups[g][0]] * 1000 > total[s]]
-        room = f * sum(size[k] for g in large for k in groups[g])
-        got = 0
-        for g in large:
+        mean = total[s] / sum(size[k] > 0 for k, row in enumerate(rows) if row[2] == s)
+        odds = lambda key: f / (1 - f) * math.sqrt(size[groups[key][0]] / mean)  # noqa: B023, E731
+        rank = lambda key: ((u := (int(key[:13], 16) + 0.5) / 16**13) / (1 - u)) / odds(key)  # noqa: B023, E731
+        room, out = goal[s] - whole * total[s], []
+        for g in sorted(groups, key=lambda key: (rank(key), key)):
             mass = sum(size[k] for k in groups[g])
-            if mass <= room - got:
-                got += mass
+            if mass <= room and room > goal[s] / 1000:
+                room -= mass
                 for k in groups[g]:
                     taken[k] += size[k]
-        room, upto = goal[s] - whole * total[s] - got, 0
-        for g in ranked:
-            if g in large:
-                continue
-            upto += sum(size[k] for k in groups[g])
-            if upto > room:
-                break
-            for k in groups[g]:
+            else:
+                out.append((mass, len(out), g))
+        if room > goal[s] / 1000 and out and min(out)[0] < 2 * room:
+            for k in groups[min(out)[2]]:
                 taken[k] += size[k]
     return size, total, goal, taken
 
@@ -88,11 +84,41 @@ def test_against_sorting(spark, n, seed):
     assert made.columns == df.columns and made.count() == sum(t // n for n, t in zip(size, taken) if n) + made.where("size(split(trim(coalesce(text, '')), ' ')) < 1 or coalesce(text, '') = ''").count()
 
 
-def test_targets():
-    t = M.targets({"a": 100, "b": 100, "c": 100})
-    assert t == {"a": 200.0, "b": 250 / 3, "c": 500 / 3}
-    assert sum(M.targets({"a": 1, "b": 1000, None: 3}).values()) == pytest.approx(1506)
-    assert M.targets({}) == {} and M.targets({"a": 0}) == {"a": 0.0}
+def targets(spark, sizes):
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    return {r["source"]: r["target"] for r in M.targets(df).collect()}
+
+
+def test_targets(spark):
+    t = targets(spark, {"a": 100, "b": 100, "c": 100})
+    assert t == {"a": 200.0, "b": pytest.approx(250 / 3), "c": pytest.approx(500 / 3)}
+    assert sum(targets(spark, {"a": 1, "b": 1000, None: 3}).values()) == pytest.approx(1506)
+    assert targets(spark, {}) == {} and targets(spark, {"a": 0}) == {"a": 0.0}
+    many = {f"s{k:05d}": 1 + k * 7919 % 1000 for k in range(5000)}
+    assert sum(targets(spark, many).values()) == pytest.approx(1.5 * sum(many.values()))
+
+
+def test_odds_are_unequal(spark):
+    # of many short and long documents of one chance, the long ones come again more often, and less so than they are longer
+    rows = [(k, "w " * (4 if k % 2 else 64), s) for k in range(4000) for s in ("a", "b", "c")]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("size", "target").avg("copies").collect()
+    share = {(r["target"], r["size"]): r["avg(copies)"] % 1 for r in got}
+    for goal in {t for t, _ in share}:
+        if 0.05 < share[(goal, 4)] < 0.95:
+            odds = [share[(goal, n)] / (1 - share[(goal, n)]) for n in (4, 64)]
+            assert 2.5 < odds[1] / odds[0] < 6  # the square root of 16 is 4
+
+
+def test_repeated_rows_reach_the_target(spark):
+    rows = [(1, "w " * 50, "b")] * 300 + [(k, "w " * 20, "b") for k in range(2, 2000)] + [(k, "w " * 9, "a") for k in range(9000)]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source_size", "target").agg({"taken": "sum"}).collect()
+    assert len(got) == 2 and all(abs(r["sum(taken)"] - r["target"]) < 0.01 * r["target"] for r in got)
+
+
+def test_very_long_text(spark):
+    rows = [(k, "w " * 300_000 if k == 7 else "w x", "a") for k in range(50)] + [(None, "w", "b")] * 40
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["size"] for r in got if r["doc_id"] == 7} == {300_000} and all(r["taken"] <= 2 * r["size"] for r in got)
 
 
 def test_empty(spark):
