@@ -62,9 +62,10 @@ class Evaluator:
         return self.cross.neutralize(df, f"__n{n.id}", xs[0], xs[1 : 1 + k], group, weights, n.param("standardize"))
 
     def run(self, plan: LogicalPlan, panel: DataFrame) -> DataFrame:
-        """panel with a column for each node; a level at a time, so that windows of a level share their sort."""
-        df = panel
+        """panel with a column for each node that it hasn't got; a level at a time, so that windows of a level share their sort."""
+        df, known = panel, set(panel.columns)
         for level in plan.levels():
+            level = [n for n in level if f"__n{n.id}" not in known]
             built = {f"__n{n.id}": c for n in level if (c := self.build(n)) is not None}
             df = df.withColumns(built) if built else df
             for n in level:
@@ -100,6 +101,29 @@ def evaluate(plan: LogicalPlan | FactorRequest | list[str] | str, panel: DataFra
     return df.select(ts, instrument, *keep, *outputs)
 
 
+def evaluate_sources(plan: LogicalPlan | FactorRequest | list[str] | str, sources: list[DataFrame]) -> DataFrame:
+    """(ts, instrument, outputs) at the times of any source, for plans over several sources that don't tick together.
+
+    Fields meet as of each time, their last values carried forward; a pair window over raw fields of two sources takes
+    each one's last samples by position, on its own clock. Each panel has (instrument, ts, its fields), a row an event.
+    """
+    from .operators.event_clock import on_own_clocks, pair_window
+    from .sources.panel import align, carry_forward
+
+    plan = plan if isinstance(plan, LogicalPlan) else compile_request(plan)
+    wanted = {f.column for f in plan.fields}
+    missing = wanted - {c for p in sources for c in p.columns}
+    if missing:
+        raise MissingField(min(missing).replace("__", "."))
+    slim = [p.select("instrument", "ts", *[F.col(c).cast("double").alias(c) for c in p.columns if c in wanted]) for p in sources]
+    # an invalid window is NaN, a sample that hides the valid one before it
+    windows = [pair_window(n, slim, "value").select("instrument", "ts", F.coalesce("value", F.lit(float("nan"))).alias(f"__n{n.id}")) for n in plan.nodes if on_own_clocks(n)]
+    panel = carry_forward(align([p for p in slim if len(p.columns) > 2] + windows))
+    panel = panel.withColumns({c: fin(F.col(c)) for w in windows for c in w.columns[2:]})
+    df = Evaluator().run(plan, panel)
+    return df.select("ts", "instrument", *[fin(_column(r)).alias(name) for name, r in plan.outputs.items()])
+
+
 def long_form(frame: DataFrame, outputs: list[str], instrument: str = "instrument", ts: str = "ts") -> DataFrame:
     """(output, instrument, ts, value): a row for each factor and cell."""
     return frame.unpivot([instrument, ts], outputs, "output", "value").select("output", instrument, ts, "value")

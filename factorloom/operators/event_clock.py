@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidExpression
 from ..functions.values import fin, guarded_div
-from ..plans.planner import FieldRef, compile_request
+from ..plans.planner import FieldRef, Node, compile_request
 from ..sources.panel import align, carry_forward
 from .ts import TINY, ewm_weights, weighted
 
@@ -44,18 +44,16 @@ def _statistic(op: str, x: Column, y: Column, s: Column, w: int) -> Column:
     return weighted(F.zip_with(x, y, lambda a, b: a * b), v) - weighted(x, v) * weighted(y, v)
 
 
-def evaluate_on_event_clocks(expr: str, sources: list[DataFrame], name: str = "value", default_source: str = "bar") -> DataFrame:
-    """(ts, instrument, value) at the times of either source, for one pair window over two raw fields.
+def on_own_clocks(n: Node) -> bool:
+    """Whether a node is a pair window over raw fields of two sources."""
+    return len(n.inputs) == 2 and bool(n.param("window")) and all(isinstance(x, FieldRef) for x in n.inputs) and n.inputs[0].source != n.inputs[1].source
 
-    Each panel of ``sources`` has (instrument, ts, its fields) and one row for each event.
-    """
-    plan = compile_request([expr], [name])
-    node = plan.nodes[-1]
-    if len(plan.nodes) != 1 or len(node.inputs) != 2 or not all(isinstance(x, FieldRef) for x in node.inputs) or not node.param("window"):
-        raise InvalidExpression(expr, "event clocks take one two-field window over raw fields")
-    w = node.param("window")
+
+def pair_window(n: Node, sources: list[DataFrame], name: str) -> DataFrame:
+    """(ts, instrument, value) at the times of either source of the node; null where it is invalid."""
+    w = n.param("window")
     lists = []
-    for k, ref in enumerate(node.inputs):
+    for k, ref in enumerate(n.inputs):
         panel = next(p for p in sources if ref.column in p.columns).where(F.col(ref.column).isNotNull())
         frame = Window.partitionBy("instrument").orderBy("ts").rowsBetween(-(w - 1), 0)
         lists.append(panel.select("instrument", "ts", F.collect_list(fin(F.col(ref.column))).over(frame).alias(f"__a{k}")))
@@ -63,4 +61,16 @@ def evaluate_on_event_clocks(expr: str, sources: list[DataFrame], name: str = "v
     x, y = F.col("__a0"), F.col("__a1")
     full = both.withColumn("__full", (F.size(x) == w) & (F.size(y) == w))
     sums = full.withColumn("__s", F.when(F.col("__full"), _sums(x, y, w)))
-    return sums.select("ts", "instrument", fin(F.when(F.col("__full"), _statistic(node.op, x, y, F.col("__s"), w))).alias(name))
+    return sums.select("ts", "instrument", fin(F.when(F.col("__full"), _statistic(n.op, x, y, F.col("__s"), w))).alias(name))
+
+
+def evaluate_on_event_clocks(expr: str, sources: list[DataFrame], name: str = "value") -> DataFrame:
+    """(ts, instrument, value) at the times of either source, for one pair window over two raw fields.
+
+    Each panel of ``sources`` has (instrument, ts, its fields) and one row for each event.
+    """
+    plan = compile_request([expr], [name])
+    node = plan.nodes[-1]
+    if len(plan.nodes) != 1 or len(node.inputs) != 2 or not all(isinstance(x, FieldRef) for x in node.inputs) or not node.param("window"):
+        raise InvalidExpression(expr, "event clocks take one two-field window over raw fields")
+    return pair_window(node, sources, name)

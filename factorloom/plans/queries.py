@@ -156,6 +156,15 @@ _add(
         from (select *, m11 * m22 - m12 * m12 as d, greatest(m11, abs(m12)) <= 1e-12 or abs(m11 * m22 - m12 * m12) / greatest(m11, abs(m12)) <= 1e-12 as small from q))""",
 )
 
+_add(
+    "cs_neutralize_ols_three", "cs_neutralize_ols_multi(close, volume, open, high)", "cy - (c1 * x1 + c2 * x2 + c3 * x3) / d", "u",
+    f""", s as (select *, close - avg(close) {_T} as cy, volume - avg(volume) {_T} as x1, open - avg(open) {_T} as x2, high - avg(high) {_T} as x3 from panel),
+  q as (select *, avg(x1 * x1) {_T} as a, avg(x1 * x2) {_T} as b, avg(x1 * x3) {_T} as c, avg(x2 * x2) {_T} as e, avg(x2 * x3) {_T} as f, avg(x3 * x3) {_T} as g,
+               avg(x1 * cy) {_T} as v1, avg(x2 * cy) {_T} as v2, avg(x3 * cy) {_T} as v3 from s),
+  u as (select *, v1 * (e * g - f * f) - b * (v2 * g - f * v3) + c * (v2 * f - e * v3) as c1, a * (v2 * g - f * v3) - v1 * (b * g - f * c) + c * (b * v3 - v2 * c) as c2,
+               a * (e * v3 - v2 * f) - b * (b * v3 - v2 * c) + v1 * (b * f - e * c) as c3, a * (e * g - f * f) - b * (b * g - f * c) + c * (b * f - e * c) as d from q)""",
+)
+
 # composites
 _add("cs_rank_ts_mean", "cs_rank(ts_mean(close, 3))", f"case when x is not null then {_RANK} end", "s", f", s as (select *, {_agg('avg', 3)} as x from panel)")
 _add("alpha_101", "(close - open) / (high - low + 0.001)", "(close - open) / (high - low + 0.001)")
@@ -279,3 +288,53 @@ c as (select *, list_transform(x, lambda v: v - list_avg(x)) as dx, list_transfo
 s as (select *, list_sum(list_transform(dx, lambda v: v * v)) as xx, list_sum(list_transform(dy, lambda v: v * v)) as yy, list_sum(list_transform(dx, lambda v, k: v * dy[k])) as xy from c)
 select epoch_us(ts) as ts, instrument, round(case when len(x) = 5 and len(y) = 5 and xx > 1e-12 and yy > 1e-12 then xy / sqrt(xx * yy) end, 6) + 0.0 as value from s
 """
+
+
+def two_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Views as bars, purchases as quotes."""
+    e = _events(spark, sf_dir)
+    one = lambda kind: e.where(F.col("event_type") == kind).groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    return [P.from_table(one("view"), "bar", "user_id", "ts", close="value"), P.from_table(one("purchase"), "quote_tick", "user_id", "ts", bid_price="value")]
+
+
+def clocks_in_a_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pair window by position inside a larger expression, beside values as of each time."""
+    from ..engine import evaluate_sources
+
+    got = evaluate_sources(["ts_cov(bar.close, quote_tick.bid_price, 3) * 2 - bar.close"], two_sources(spark, sf_dir))
+    return rounded(got.select("ts", "instrument", F.col(got.columns[-1]).alias("value")), "value")
+
+
+QUERIES["source_event_clocks_in_a_plan"] = clocks_in_a_plan
+ORACLE_SQL["source_event_clocks_in_a_plan"] = """
+with p as (select event_type, user_id as instrument, ts, max(value) as v from events where event_type in ('view', 'purchase') and user_id is not null and ts is not null group by 1, 2, 3),
+l as (select event_type, instrument, ts, v, list(v) over (partition by event_type, instrument order by ts rows between 2 preceding and current row) as a from p),
+m as (select instrument, ts, max(a) filter (event_type = 'view') as x, max(a) filter (event_type = 'purchase') as y, max(v) filter (event_type = 'view') as c from l group by 1, 2),
+f as (select instrument, ts, last_value(x ignore nulls) over w as x, last_value(y ignore nulls) over w as y, last_value(c ignore nulls) over w as c
+      from m window w as (partition by instrument order by ts rows unbounded preceding)),
+s as (select *, list_sum(list_transform(x, lambda v, k: (v - list_avg(x)) * (y[k] - list_avg(y)))) / 2 as cov from f)
+select epoch_us(ts) as ts, instrument, round(case when len(x) = 3 and len(y) = 3 then cov * 2 - c end, 6) + 0.0 as value from s
+"""
+
+
+def group_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups from another source, as of each half day: the parity of the user's last purchase, over all users' last views."""
+    e = _events(spark, sf_dir).select(F.col("user_id").alias("instrument"), F.floor(F.col("ts") / 43_200_000_000).cast("long").alias("ts"), "event_type", "value")
+    last = lambda kind: e.where(F.col("event_type") == kind).groupBy("instrument", "ts").agg(F.max("value").alias("value"))
+    views = last("view").select("instrument", "ts", F.col("value").alias("bar__close"))
+    groups = last("purchase").select("instrument", "ts", (F.floor("value") % 2).cast("double").alias("data__sector"))
+    both = P.align([views, groups])
+    panel = P.carry_forward(P.densify(both, both.select("instrument").distinct()))
+    got = evaluate(["cs_neutralize(bar.close, group=data.sector)"], panel)
+    return rounded(got.select("ts", "instrument", F.col(got.columns[-1]).alias("value")), "value")
+
+
+QUERIES["source_group_lookup"] = group_lookup
+ORACLE_SQL["source_group_lookup"] = """
+with e as (select user_id as instrument, floor(epoch_us(ts) / 43200000000)::bigint as ts, event_type, value from events where user_id is not null and ts is not null and event_type in ('view', 'purchase')),
+s as (select instrument, ts, max(value) filter (event_type = 'view') as c, floor(max(value) filter (event_type = 'purchase')) % 2 as g from e group by 1, 2),
+grid as (select * from (select distinct ts from s), (select distinct instrument from s)),
+f as (select grid.ts, grid.instrument, last_value(c ignore nulls) over w as c, last_value(g ignore nulls) over w as g from grid left join s on s.ts = grid.ts and s.instrument = grid.instrument
+      window w as (partition by grid.instrument order by grid.ts rows unbounded preceding))
+select ts, instrument, round(case when c is not null and g is not null then c - avg(c) over (partition by ts, g) end, 6) + 0.0 as value from f
+"""

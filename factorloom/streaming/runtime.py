@@ -88,16 +88,16 @@ class FactorStream:
         if held is not None:
             pending = held.unionByName(pending)
         times = settled.select("ts").where(F.col("ts") > F.lit(last) if last is not None else F.lit(True)).where(F.col("ts") <= F.lit(upto)).distinct() if upto is not None else None
-        emitted = last
-        if times is not None and (emitted := times.agg(F.max("ts")).first()[0]) is not None:
+        newest = times.agg(F.max("ts")).first()[0] if times is not None else None
+        if newest is not None:
             grid = P.carry_forward(P.densify(settled, self.universe), self.fields)
-            values = evaluate(self.plan, grid).join(F.broadcast(times), "ts", "left_semi")
+            values = evaluate(self.plan, grid).join(times, "ts", "left_semi")
             marked = times.select("ts", (F.col("ts") > F.lit(ready) if ready is not None else F.lit(True)).alias("forced"))
             flags = P.quality_flags(pending, times, self.universe, marked)
             self.sink(values.join(flags, ["ts", "instrument"]), batch)
-        else:
-            emitted = last
-        self._keep(settled, pending, emitted, batch)
+            # this frame has taken the flags up to it, also of late events; without a frame all of them wait for the next one
+            pending = pending.where(F.col("ts") > F.lit(newest))
+        self._keep(settled, pending, last if newest is None else newest, batch)
 
     def _ready(self, latest: DataFrame) -> int | None:
         full = self.universe.select("instrument").distinct().join(latest, "instrument", "left")
@@ -114,7 +114,6 @@ class FactorStream:
             newest = Window.partitionBy("instrument").orderBy(F.desc("ts"))
             base = base.withColumn("k", F.row_number().over(newest)).where("k = 1").drop("k").withColumn("ts", F.lit(begin).cast(settled.schema["ts"].dataType))
             tail = base.unionByName(settled.where(F.col("ts") > F.lit(begin)))
-            pending = pending.where(F.col("ts") > F.lit(emitted))
         else:
             tail = settled
         tail.select("instrument", "ts", *self.fields).write.mode("overwrite").parquet(f"{self.state}/{batch}/rows")
@@ -125,7 +124,8 @@ class FactorStream:
 class Advancer:
     """The one-time-at-a-time interface over settled events: advance(ts) gives the frame of that time.
 
-    Equal times may be asked for again; earlier ones may not.
+    Equal times may be asked for again; earlier ones may not. push() adds events that came since: those of times that
+    a frame has passed are late, and their flags go with the next frame.
     """
 
     def __init__(self, plan: LogicalPlan, events: DataFrame, universe: DataFrame, policy: str = "strict"):
@@ -133,6 +133,12 @@ class Advancer:
         self.plan, self.policy, self.last = plan, policy, None
         self.fields = [f.column for f in plan.fields]
         self.events, self.universe = P.admit(events, universe), universe
+        self.pending = self.events.select("instrument", "ts", "flags")
+
+    def push(self, events: DataFrame) -> None:
+        new = P.admit(events, self.universe)
+        self.events = self.events.unionByName(new)
+        self.pending = self.pending.unionByName(new.select("instrument", "ts", "flags"))
 
     def advance(self, ts: int) -> DataFrame:
         if self.last is not None and ts < self.last:
@@ -145,12 +151,10 @@ class Advancer:
         times = known.sparkSession.createDataFrame([(ts,)], f"ts {known.schema['ts'].dataType.simpleString()}")
         cells = times.crossJoin(self.universe.select("instrument").distinct()).select("instrument", "ts")
         grid = P.carry_forward(P.densify(P.align([known, cells]), self.universe), self.fields)
-        start = self.last
-        own = self.events.where(F.col("ts") <= ts)
-        own = own.where(F.col("ts") > start) if start is not None else own
-        flags = P.quality_flags(own.select("instrument", "ts", "flags"), times, self.universe, times.withColumn("forced", F.lit(forced)))
+        own = self.pending.where(F.col("ts") <= ts)
+        flags = P.quality_flags(own, times, self.universe, times.withColumn("forced", F.lit(forced)))
         out = evaluate(self.plan, grid).where(F.col("ts") == ts).join(flags, ["ts", "instrument"])
-        self.last = ts
+        self.last, self.pending = ts, self.pending.where(F.col("ts") > ts)
         return out
 
 

@@ -53,6 +53,37 @@ def test_stream_equals_batch(spark, tmp_path, policy):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+def test_flags_of_late_events_wait_for_the_next_frame(spark, tmp_path):
+    u = spark.createDataFrame([(1,), (2,)], "instrument int")
+    got = {}
+    stream = FactorStream(spark, compile_request(["close + 0"], ["v"]), u, str(tmp_path / "state"), lambda df, k: got.update({(r["ts"], r["instrument"]): r["quality_flags"] for r in df.collect()}))
+    batches = [[(1, 1, 1, 0, 1.0), (2, 1, 2, 0, 1.0), (1, 2, 3, 0, 1.0), (2, 2, 4, 4, 1.0)], [(1, 1, 5, 2, 9.0)], [(2, 2, 6, 8, 1.0)], [(1, 3, 7, 0, 2.0), (2, 3, 8, 0, 2.0)], [(1, 4, 9, 0, 2.0), (2, 4, 10, 0, 2.0)]]
+    for k, rows in enumerate(batches):
+        stream.process(spark.createDataFrame(rows, EVENTS), k)
+    assert got == {(1, 1): 0, (1, 2): 0, (2, 1): 0, (2, 2): 4, (3, 1): 2, (3, 2): 8, (4, 1): 0, (4, 2): 0}
+
+
+def test_flags_pushed_late_go_with_the_next_frame(spark):
+    u = spark.createDataFrame([(1,)], "instrument int")
+    a = Advancer(compile_request(["close + 0"], ["v"]), spark.createDataFrame([(1, 10, 1, 0, 1.0)], EVENTS), u)
+    assert FactorFrame(a.advance(10), ["v"]).flags(1) == 0
+    a.push(spark.createDataFrame([(1, 5, 2, 2, 7.0), (1, 20, 3, 4, 3.0)], EVENTS))
+    f = FactorFrame(a.advance(20), ["v"])
+    assert f.flags(1) == 6 and f.matrix() == [[3.0]]
+    a.push(spark.createDataFrame([(1, 30, 4, 0, 3.0)], EVENTS))
+    assert FactorFrame(a.advance(30), ["v"]).flags(1) == 0
+
+
+def test_windows_by_position_inside_a_plan(spark):
+    from factorloom.engine import evaluate_sources
+
+    bars = spark.createDataFrame([(1, t, x) for t, x in ((1, 1.0), (2, 4.0), (5, 2.0), (9, float("nan")), (10, 3.0))], "instrument int, ts long, bar__close double")
+    quotes = spark.createDataFrame([(1, t, x) for t, x in ((3, 2.0), (4, 6.0), (7, 1.0))], "instrument int, ts long, quote_tick__bid_price double")
+    got = {r["ts"]: (r["v"], r["d"]) for r in evaluate_sources(compile_request(["ts_cov(bar.close, quote_tick.bid_price, 2) + bar.close", "bar.close - quote_tick.bid_price"], ["v", "d"]), [bars, quotes]).collect()}
+    # the last two closes against the last two bids, whatever their times
+    assert got == {1: (None, None), 2: (None, None), 3: (None, 2.0), 4: (4 + 6.0, -2.0), 5: (2 - 4.0, -4.0), 7: (2 + 5.0, 1.0), 9: (None, None), 10: (None, 2.0)}
+
+
 def test_structured_streaming(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([(i, t, t, 0, float(i * t)) for t in (1, 2, 3) for i in (1, 2)], EVENTS).coalesce(1).write.parquet(str(src))
