@@ -1,3 +1,10 @@
+import hashlib
+import json
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
 from factorloom.llm import html_wrappers as W
 
 
@@ -24,12 +31,55 @@ def test_simple_tree_matching_keeps_order():
     assert W.matching(a, b, W._key, W._slots, {}) == [(1, 0), (2, 1)]
 
 
-def wrapper(pages):
+def brute_matching(x, y):
+    """Nodes matched at most, trying every way to pair the children in order."""
+    if x[0] != y[0]:
+        return 0
+
+    def rows(a, b):
+        if not a or not b:
+            return 0
+        return max(rows(a[1:], b), rows(a, b[1:]), (brute_matching(a[0], b[0]) + rows(a[1:], b[1:])) if a[0][0] == b[0][0] else 0)
+
+    return 1 + rows(x[3], y[3])
+
+
+def test_simple_tree_matching_by_brute_force():
+    r = random.Random(3)
+
+    def tree(depth):
+        return [r.choice(["p", "div", "ul"]), 0, [], [tree(depth - 1) for _ in range(r.randrange(0, 4))] if depth else []]
+
+    for _ in range(150):
+        x, y = tree(2), tree(2)
+        x[0] = y[0] = "body"
+        assert W._matched(x, y, W._key, W._slots, {}) == brute_matching(x, y) or [k[0] for k in x[3]] == [k[0] for k in y[3]]
+
+
+def test_long_rows_match_in_order(monkeypatch):
+    a, b = ([[k, 0, [], []] for k in ["p", "div", "ul"] * 40] for _ in range(2))
+    monkeypatch.setattr(W, "PAIRS", 100)
+    assert W.matching(a[1:], b, W._key, W._slots, {}) == [(k - 1, k) for k in range(1, 120)]
+
+
+def wrapper(pages, order=None):
+    """As the operator does it, for pages of one host dealt out in any way."""
+    made = {json.dumps(W.template_of(W.fold([W.parse(p)])), separators=(",", ":")) for p in (order or pages)}
     merged = None
-    for p in pages:
-        t = W.template_of(W.fold([W.parse(p)]))
-        merged = t if merged is None else W.merge(merged, t)
-    return W.wrapper_of(merged)
+    for t in sorted(made, key=lambda t: hashlib.sha256(t.encode()).hexdigest()):
+        merged = json.loads(t) if merged is None else W.merge(merged, json.loads(t))
+    merged = W.numbered(merged)
+    counts, sums = defaultdict(Counter), defaultdict(lambda: [0, 0])
+    for p in set(pages):
+        for slot, text, words, linked in W.slots_of(p, merged):
+            counts[slot][text] += 1
+            sums[slot][0] += words
+            sums[slot][1] += linked
+    told = {}
+    for slot, c in counts.items():
+        same, text = max((n, t) for t, n in c.items())
+        told[slot] = (sum(c.values()), same, text, *sums[slot])
+    return W.wrapper_of(merged, told)
 
 
 def test_constant_slots_are_template():
@@ -55,6 +105,7 @@ def test_copies_of_one_page_count_once(spark):
     assert got[0] == "Not found nothing here" and got[30] == "Own title own words a b" and got[31] == "Not found nothing here c"
     # a text of its own in a slot that is constant elsewhere stays, even where no html repeats
     w = wrapper([copy + f"<!-- {k} -->" for k in range(30)] + [other])
+    assert w["s"]
     assert W.extract(other, w) == "Own title own words a b"
 
 
@@ -82,3 +133,50 @@ def test_query(spark):
         assert got[k]["text"] == f"Head {k} one & two {k} three four" and got[k]["n_chars"] == len(got[k]["text"])
     none = df.limit(0)
     assert W.main_text(none, W.wrappers(none)).count() == 0
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<div class='content with-sidebar'><h1>T</h1><p>Hello world</p></div>", "T Hello world"),
+    ("<form action=/x><input name=v><nav>menu</nav><div><article><h1>T</h1><p>Hello</article></div></form>", "T Hello"),
+    ("<form><div><h2>T</h2><p>all of the page lies in here</div></form><p>end", "T all of the page lies in here end"),
+    ("<article><p class='share-price'>up 3 %</p><div class='ad-hoc'>a group</div><section id='related-work'>others did</section></article>", "up 3 % a group others did"),
+    ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</article>", "so x=2 holds"),
+    ("<article><p>a<div class='ad-banner'>no</div><div id=comments>no</div><div class='related-posts'>no</div><div class='share-buttons'>no</div><p>b</article>", "a b"),
+    ("<div class='cookie-notice'>no</div><div class=wrapper-ad><main><p>yes</main></div><aside>no</aside>", "yes"),
+    ("<p>a<form><label>search</label><input></form><p>much longer than the form", "a much longer than the form"),
+    ("<article><h1>T</h1><p>x</article><section class=comments><article class=comment><p>no no</article></section>", "T x"),
+])
+def test_names_and_holders(html, text):
+    assert W.extract(html, None) == text
+
+
+def varied(r, k):
+    parts = [f"<h2>Title {k}</h2>", f"<p>words {k} of {r.randrange(10**6)}</p>", "<div class=end>All rights kept</div>", "<div>Join us</div>", f"<ul><li>item {r.randrange(99)}<li>b</ul>", f"<section class=s{r.choice('abc')}><p>own {k}</p></section>", "<blockquote>same</blockquote>"]
+    return "<body><div id=page>" + "".join(p for p in parts if r.random() < 0.8) + "</div><div class=foot>foot</div></body>"
+
+
+def test_no_order_changes_a_text(spark):
+    r = random.Random(2)
+    pages = [varied(r, k) for k in range(60)]
+    want = [W.extract(p, wrapper(pages)) for p in pages]
+    for _ in range(30):
+        order = r.sample(pages, len(pages))
+        assert [W.extract(p, wrapper(order, order)) for p in pages] == want
+    df = spark.createDataFrame([(k, "http://h/x", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    for n in (1, 7):
+        dealt = df.repartition(n, "html")
+        got = {x["page_id"]: x["text"] for x in W.main_text(dealt, W.wrappers(dealt)).collect()}
+        first = got if n == 1 else first
+        assert len(got) == 60 and got == first
+
+
+def test_deep_repeated_and_long_pages(spark, monkeypatch):
+    deep = "<div>" * 2000 + "<p>bottom" + "</div>" * 2000
+    long = "<article>" + "".join(f"<h2>h{k}</h2><p>p{k}</p>" for k in range(8000)) + "</article>"
+    rows = [(1, "u", deep), (1, "u", deep), (None, "u", deep), (2, "u", long), (3, "u", long + "<p>x"), (4, "u", "<p>" + "word " * 300_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(W, "BROADCAST", 0)  # joined by host instead
+    got = W.main_text(df, W.wrappers(df)).collect()
+    assert len(got) == 6 and {r["text"] for r in got if r["page_id"] in (1, None)} == {"bottom"}
+    assert next(r["text"] for r in got if r["page_id"] == 2) == " ".join(f"h{k} p{k}" for k in range(8000))
+    assert next(r["n_chars"] for r in got if r["page_id"] == 4) == 5 * 300_000 - 1
