@@ -29,7 +29,7 @@ from .common import map_rows, only
 
 END = "</w>"
 #: Bytes of one generation of a worker's caches, of which there are two: of runs, and of fragments.
-RUNS, FRAGMENTS = 12 << 20, 4 << 20
+RUNS, FRAGMENTS = 32 << 20, 8 << 20
 NONE = 1 << 60
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
