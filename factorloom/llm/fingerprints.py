@@ -18,6 +18,7 @@ of integer types only and says so else; other columns, whatever their names, are
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,7 +48,7 @@ def split(text: str | None) -> list[bytes]:
 
 
 def bucket(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, SEED) % BUCKETS
+    return zlib.crc32(word) % BUCKETS
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -60,91 +61,84 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Sampler:
     """inverse: ln(1 + N / df) of each bucket of words; all words weigh alike without it.
 
-    Each (term, draw) has two 32-bit hashes, keyed apart, for r and c: Gamma(2, 1) is minus ln of the product of two
-    uniform numbers. Their sum, one of them multiplied, gives b, which is independent of either.
+    Each (term, draw) has a 64-bit hash, the term's under the draw's key. Its four parts make r and c: Gamma(2, 1) is minus ln
+    of the product of two uniform numbers, for which parts of two draws' hashes meet, each part once. b comes from a sum of
+    the halves, one of them multiplied.
     """
 
     def __init__(self, inverse: np.ndarray | None = None, samples: int = SAMPLES, seed: int = SEED):
         self.inverse, self.samples, self.seed = inverse, samples, seed
-        self.keys = np.random.default_rng(seed).integers(0, 2**31, (2, samples), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.keys = np.random.default_rng(seed).integers(0, 2**63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.step = (np.arange(samples, dtype=np.uint64) + np.uint64(1)) * _GOLDEN
         self.values, self.levels = np.empty((2, KEPT, samples), np.float32)
         self.hashes = np.empty(KEPT, np.uint64)
-        self.place: dict[tuple[bytes, int], int] = {}
+        self.place: dict = {}
         self._draw = np.arange(samples)
 
-    def _hashes(self, terms: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each (word, times): the word's hash and ln of the term's weight."""
-        h = np.array([xxhash.xxh64_intdigest(w, self.seed) for w, _ in terms], np.uint64)
-        weight = np.array([n for _, n in terms], float)
+    def _hashes(self, terms: list) -> tuple[np.ndarray, np.ndarray]:
+        """Of each term, a word or (word, times): the word's hash and ln of the term's weight."""
+        words = [t if t.__class__ is bytes else t[0] for t in terms]
+        seed = self.seed
+        h = np.frombuffer(b"".join([xxhash.xxh64_digest(w, seed) for w in words]), ">u8").astype(np.uint64)
+        weight = np.array([1 if t.__class__ is bytes else t[1] for t in terms], float)
         if self.inverse is not None:
-            weight *= self.inverse[(h % np.uint64(BUCKETS)).astype(np.int64)]
+            weight *= self.inverse[np.array([zlib.crc32(w) for w in words], np.int64) % BUCKETS]
         return h, np.log(weight).astype(np.float32)
 
-    @staticmethod
-    def _keyed(low: np.ndarray, high: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """32 bits of each term's hash under each key."""
-        x = low * keys
-        x ^= high
-        x *= np.uint32(0x85EBCA6B)
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0xC2B2AE35)
-        x ^= x >> np.uint32(16)
-        return x
-
-    @staticmethod
-    def _ln_two_uniforms(x: np.ndarray) -> np.ndarray:
-        """ln of a product of two uniform numbers of 16 bits: halves of hashes, each used once."""
+    def draws(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """r, c and b of each term and draw."""
+        x = h[:, None] * self.keys
+        x ^= x >> np.uint64(32)
         u = x.view(np.uint16).astype(np.float32)
         u += np.float32(0.5)
-        half = x.shape[1]
+        half = 2 * self.samples
         u = u[:, :half] * u[:, half:]
         np.log(u, out=u)
-        u -= np.float32(32 * np.log(2))
-        return u
+        np.subtract(np.float32(32 * np.log(2)), u, out=u)
+        # evenly spread whatever either half of a hash is, since the other one is
+        parts = x.view(np.uint32)
+        mixed = parts[:, ::2] * np.uint32(0x9E3779B1)
+        mixed += parts[:, 1::2]
+        b = mixed.astype(np.float32)
+        b *= np.float32(2.0**-32)
+        return u[:, : self.samples], u[:, self.samples :], b
 
-    def samples_of(self, terms: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each (word, times) its hash, and for each draw ln c - r (1 + t - b) and t."""
+    def samples_of(self, terms: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word or (word, times) its hash, and for each draw ln c - r (1 + t - b) and t."""
         h, ln_w = self._hashes(terms)
-        low, high = h.astype(np.uint32)[:, None], (h >> np.uint64(32)).astype(np.uint32)[:, None]
-        for_r, for_c = (self._keyed(low, high, k) for k in self.keys)
-        minus_r, c = self._ln_two_uniforms(for_r), self._ln_two_uniforms(for_c)
-        # evenly spread whatever either hash is, since the other one is
-        for_r *= np.uint32(0x9E3779B1)
-        for_r += for_c
-        b = for_r.astype(np.float32)
-        b *= np.float32(2.0**-32)
-        t = np.divide(ln_w[:, None], minus_r)
-        np.subtract(b, t, out=t)
+        r, c, b = self.draws(h)
+        t = np.divide(ln_w[:, None], r)
+        t += b
         np.floor(t, out=t)
         b -= t
         b -= np.float32(1)
-        b *= minus_r  # r (1 + t - b)
-        np.negative(c, out=c)
+        b *= r  # -r (1 + t - b)
         np.log(c, out=c)
-        c -= b
-        return h, c, t
+        b += c
+        return h, b, t
 
-    def _places(self, terms: list[tuple[bytes, int]]) -> np.ndarray:
+    def _places(self, terms: list) -> np.ndarray:
         """Rows of ``values`` that hold these terms, at most PART of them."""
-        place = self.place
-        new = [t for t in terms if t not in place]
-        if new:
-            if len(place) + len(new) > KEPT:
-                place.clear()
-                new = terms
+        get = self.place.get
+        at = np.array([get(t, -1) for t in terms], np.int64)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            if len(self.place) + len(missing) > KEPT:
+                self.place.clear()
+                missing = np.arange(len(terms))
             # a few at a time: the numbers in between stay in the processor's cache
-            for start in range(0, len(new), 128):
-                some = new[start : start + 128]
-                at = len(place)
-                rows = slice(at, at + len(some))
+            for start in range(0, len(missing), 192):
+                who = missing[start : start + 192]
+                some, first = [terms[k] for k in who.tolist()], len(self.place)
+                rows = slice(first, first + len(some))
                 self.hashes[rows], self.values[rows], self.levels[rows] = self.samples_of(some)
-                place.update(zip(some, range(at, at + len(some)), strict=True))
-        return np.fromiter(map(place.__getitem__, terms), np.int64, len(terms))
+                self.place.update(zip(some, range(first, first + len(some)), strict=True))
+                at[who] = np.arange(first, first + len(some))
+        return at
 
     def marks(self, words: list[bytes]) -> np.ndarray:
         """The samples of a text with these words, as 16-bit marks; 0 where there are none."""
-        terms = list(Counter(words).items())
+        terms = [w if n == 1 else (w, n) for w, n in Counter(words).items()]
         best, mark = np.full(self.samples, np.inf, np.float32), np.zeros(self.samples, np.uint16)
         for start in range(0, len(terms), PART):
             at = self._places(terms[start : start + PART])
@@ -181,21 +175,14 @@ def inverse_frequency(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, rows = np.zeros(BUCKETS, np.int64), 0
-        known: dict[bytes, int] = {}
+        crc = zlib.crc32
         for batch in batches:
             for part in slices(batch):
                 for text in part.column(0).to_pylist():
-                    words = set(split(text))
-                    if len(known) > 100_000:
-                        known.clear()
-                    for w in words:
-                        if w not in known:
-                            known[w] = bucket(w)
-                    count[list({known[w] for w in words})] += 1
+                    count[np.array([crc(w) for w in set(split(text))], np.int64) % BUCKETS] += 1
                     rows += 1
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(count[at], rows))], names=["bucket", "n"])
-        known.clear()
         trim()
 
     counted = docs.select(F.col(text_col)).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()

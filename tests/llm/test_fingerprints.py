@@ -36,16 +36,18 @@ def test_collision_rate_is_generalised_jaccard_at_the_queries_size():
 
 def test_draws_follow_their_distributions():
     s = FP.Sampler(samples=64)
-    h, value, t = s.samples_of([(f"x{k}".encode(), 1) for k in range(4000)])
+    h, value, t = s.samples_of([f"x{k}".encode() for k in range(4000)])
     assert len(set(h.tolist())) == 4000 and (t == 0).all()  # ln 1 = 0: t = floor(b)
-    low, high = h.astype(np.uint32)[:, None], (h >> np.uint64(32)).astype(np.uint32)[:, None]
-    r, c = (-s._ln_two_uniforms(s._keyed(low, high, k)).astype(float) for k in s.keys)
+    r, c, b = (x.astype(float) for x in s.draws(h))
+    assert np.allclose(value, np.log(c) - r * (1 - b), atol=1e-4)
     for x in (r, c):  # Gamma(2, 1)
         assert abs(x.mean() - 2) < 0.02 and abs(x.var() - 2) < 0.05
-    b = 1 - (np.log(c) - value) / r
     assert abs(b.mean() - 0.5) < 0.005 and abs(b.var() - 1 / 12) < 0.002
     for x, y in ((r, c), (r, b), (c, b)):
         assert abs(np.corrcoef(x.ravel(), y.ravel())[0, 1]) < 0.01
+    # nor do the draws know of one another
+    over = np.corrcoef(value.T) - np.eye(64)
+    assert np.abs(over).max() < 0.09 and abs(over.mean()) < 0.002
 
 
 def test_kept_terms_do_not_change_samples(monkeypatch):
