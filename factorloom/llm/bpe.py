@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import sys
@@ -130,8 +131,11 @@ class ForcedBoundaryBPE:
             s = [self.ids[x] for x in self.symbols_of(token)]
             self.inside.update(a << 17 | b for a, b in zip(s, s[1:], strict=False))
         self.fragments: dict[tuple[int, ...], tuple[int, ...]] = Kept(FRAGMENTS)
-        #: number of tokens and ids, joined by a space, of runs without white space
-        self.chunks: dict[str, tuple[int, str]] = Kept(RUNS)
+        #: ids of runs without white space, and of the pieces of runs
+        self.chunks: dict[str, tuple[int, ...]] = Kept(RUNS)
+        #: one number for each id, which what is kept shares, and its digits
+        self.own = {i: i for i in self.tokens}
+        self.digits = {i: str(i) for i in self.tokens}
 
     def release(self) -> None:
         """Drops what was kept of the texts so far; the vocabulary stays."""
@@ -154,13 +158,11 @@ class ForcedBoundaryBPE:
         return text.translate(self.late_lower) if self.late_lower and not text.isascii() and self.has_late(text) else text
 
     def split_fragments(self, symbols: list[int]) -> list[tuple[int, ...]]:
-        out, start, inside = [], 0, self.inside
-        for k in range(1, len(symbols)):
-            if symbols[k - 1] << 17 | symbols[k] not in inside:
-                out.append(tuple(symbols[start:k]))
-                start = k
-        out.append(tuple(symbols[start:]))
-        return out
+        inside = self.inside
+        cuts = [k for k, (a, b) in enumerate(itertools.pairwise(symbols), 1) if a << 17 | b not in inside]
+        if not cuts:
+            return [tuple(symbols)]
+        return [tuple(symbols[a:b]) for a, b in itertools.pairwise([0, *cuts, len(symbols)])]
 
     def merge(self, fragment: tuple[int, ...]) -> tuple[int, ...]:
         if len(fragment) == 1:
@@ -171,8 +173,9 @@ class ForcedBoundaryBPE:
             got = kept.older.get(fragment)
             if got is None:
                 got = self._scan(list(fragment)) if len(fragment) <= 48 else self._heap(list(fragment))
+                got = tuple([self.own[i] for i in got])
             if len(fragment) <= 256:
-                kept.add(fragment, got, 250 + 36 * (len(fragment) + len(got)))
+                kept.add(fragment, got, 180 + 8 * (len(fragment) + len(got)))
         return got
 
     def _scan(self, sym: list[int]) -> tuple[int, ...]:
@@ -208,44 +211,51 @@ class ForcedBoundaryBPE:
                     heapq.heappush(heap, (m >> 17, left, sym[left], sym[right], m & 0x1FFFF))
         return tuple([s for s in sym if s >= 0])
 
-    def encode_word(self, word: str) -> list[int]:
+    def encode_word(self, word: str) -> tuple[int, ...]:
         raw = word.encode("utf-8", "replace")
         s = [self.base[b] for b in raw]
         s[-1] = self.last[raw[-1]]
-        out: list[int] = []
-        for f in self.split_fragments(s):
-            out += self.merge(f)
-        return out
-
-    def _learn(self, chunk: str) -> tuple[int, str]:
-        got = self.chunks.older.get(chunk)
+        fragments = self.split_fragments(s)
+        if len(fragments) == 1:
+            return self.merge(fragments[0])
+        return tuple([i for f in fragments for i in self.merge(f)])
+
+    def _learn(self, chunk: str) -> tuple[int, ...]:
+        """The ids of a run, or of one of its pieces, which is its own only piece."""
+        kept = self.chunks
+        got = kept.older.get(chunk)
         if got is None:
-            ids = [i for piece in self.pieces(chunk) for i in self.encode_word(piece)]
-            got = (len(ids), " ".join(map(str, ids)))
+            # letters alone are one piece, as the pattern has it
+            pieces = [chunk] if chunk.isascii() and chunk.isalpha() else self.pieces(chunk)
+            if len(pieces) == 1 and pieces[0] == chunk:
+                got = self.encode_word(chunk)
+            else:
+                got = tuple([i for piece in pieces for i in kept.get(piece) or self._learn(piece)])
         if len(chunk) <= 64:
-            self.chunks.add(chunk, got, 300 + len(chunk) * (1 if chunk.isascii() else 2) + len(got[1]))
+            # two objects and their place in the table, in the sizes that Python gives them
+            kept.add(chunk, got, (176 if chunk.isascii() else 200) + len(chunk) * (1 if chunk.isascii() else 4) + 8 * len(got))
         return got
 
-    def parts(self, text: str | None) -> list[tuple[int, str]]:
-        """(number of tokens, ids joined by a space) of each run without white space and each special token; runs without
-        tokens are left out."""
+    def parts(self, text: str | None) -> list[tuple[int, ...]]:
+        """The ids of each run without white space and each special token."""
         out = []
         for k, segment in enumerate(self.cut_special(text or "")):
             if k % 2:
-                out.append((1, str(self.special[segment])))
+                out.append((self.special[segment],))
             elif segment:
                 segment = self.normalise(segment)
                 # str.split takes four control characters for white space that the pattern takes for symbols
                 runs = segment.split() if not SEPARATORS.search(segment) else self.pieces(segment)
-                out += [self.chunks.get(run) or self._learn(run) for run in runs]
-        return [p for p in out if p[0]] if (0, "") in out else out
+                get, learn = self.chunks.get, self._learn
+                out += [get(run) or learn(run) for run in runs]
+        return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for p in self.parts(text) for i in p[1].split()]
+        return list(itertools.chain.from_iterable(self.parts(text)))
 
     def decode(self, ids) -> str:
         """Tokens joined by a space: these vocabularies come without a decoder. Unknown ids are skipped."""
-        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
+        return " ".join(filter(None, map(self.tokens.get, ids)))
 
 
 _loaded: dict[str, ForcedBoundaryBPE] = {}
@@ -295,11 +305,10 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def batch(t, b):
         out = {"doc_id": b["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         for text in b["text"]:
-            ids = " ".join([p[1] for p in t.parts(text)])
-            listed = list(map(int, ids.split()))
-            out["n_tokens"].append(len(listed))
-            out["ids_sha256"].append(sha(ids))
-            out["decoded_sha256"].append(sha(t.decode(listed)))
+            ids = t.encode(text)
+            out["n_tokens"].append(len(ids))
+            out["ids_sha256"].append(sha(" ".join(map(t.digits.__getitem__, ids))))
+            out["decoded_sha256"].append(sha(t.decode(ids)))
         return out
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 
 import pytest
 
@@ -55,3 +56,34 @@ def test_frames(spark):
     enc = bpe.encode(df, PATH)
     assert bpe.decode(enc, PATH).where("doc_id = 1").first()["text"] == "hello</w> world</w>"
     assert bpe.encode_digests(df.limit(0), PATH).count() == 0
+
+
+def words(n, seed=9):
+    r = random.Random(seed)
+    return ["".join(r.choices("aeinrstlodh", k=9)) for _ in range(n)]
+
+
+def test_pieces_of_runs_are_encoded_once(both, monkeypatch):
+    own, calls = both[0], []
+    own.release()
+    plain = own.encode_word
+    monkeypatch.setattr(own, "encode_word", lambda word: calls.append(word) or plain(word))
+    text = "Stone, stone. (stone) stone! STONE's stone7 stone,"
+    assert own.encode(text) == both[1].encode(text, add_special_tokens=False).ids
+    assert sorted(calls) == sorted(set(calls)) and "stone" in calls
+
+
+def test_what_is_kept_has_the_stated_size(both):
+    own = both[0]
+    own.release()
+    some = list(dict.fromkeys(words(140_000)))
+    for word in some:
+        own.encode(word)
+    # one generation holds them all, and takes no more than it may
+    assert len(own.chunks) == len(some) and not own.chunks.older
+    held = sys.getsizeof(own.chunks) + sum(sys.getsizeof(k) + sys.getsizeof(v) + 16 for k, v in own.chunks.items())
+    assert held <= own.chunks.size <= bpe.RUNS
+    for word in words(140_000, 10):
+        own.encode(word)
+    assert own.chunks.older and own.chunks.size <= bpe.RUNS
+    own.release()
