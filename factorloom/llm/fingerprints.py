@@ -18,6 +18,7 @@ of integer types only and says so else; other columns, whatever their names, are
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,10 +35,12 @@ from .common import map_rows, only, slices, trim
 SAMPLES = 256
 SEED = 2010
 BUCKETS = 1 << 17
-#: Terms (word, times in a text) whose samples a task keeps: SAMPLES * 8 bytes each.
-KEPT = 1 << 14
+#: Terms (word, times in a text) whose draws a task keeps: SAMPLES * 4 bytes each.
+KEPT = 1 << 16
 #: Terms of one text that are looked at together.
 PART = 1 << 12
+#: Terms whose draws are made together: the numbers in between stay in the processor's cache.
+BLOCK = 64
 #: Parts by id are cut at quantiles, at most so many; each is cut evenly beyond that.
 QUANTILES = 512
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -70,42 +73,61 @@ class Sampler:
         self.inverse, self.samples, self.seed = inverse, samples, seed
         self.keys = np.random.default_rng(seed).integers(0, 2**63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.step = (np.arange(samples, dtype=np.uint64) + np.uint64(1)) * _GOLDEN
-        self.values, self.levels = np.empty((2, KEPT, samples), np.float32)
-        self.hashes = np.empty(KEPT, np.uint64)
-        self.place: dict = {}
-        self._draw = np.arange(samples)
-
-    def _hashes(self, terms: list) -> tuple[np.ndarray, np.ndarray]:
-        """Of each term, a word or (word, times): the word's hash and ln of the term's weight."""
-        words = [t if t.__class__ is bytes else t[0] for t in terms]
-        seed = self.seed
-        h = np.frombuffer(b"".join([xxhash.xxh64_digest(w, seed) for w in words]), ">u8").astype(np.uint64)
-        weight = np.array([1 if t.__class__ is bytes else t[1] for t in terms], float)
+        # a term's row is that of its key; PART rows more are for terms whose row another one of the same texts has
+        self.values = np.empty((KEPT + PART, samples), np.float32)
+        self.hashes, self.ln_w = np.empty(KEPT + PART, np.uint64), np.empty(KEPT + PART, np.float32)
+        #: key of the term in each row (at first one of another row); when each row was last asked for, and for which new term
+        self.keys_in = np.arange(1, KEPT + 1, dtype=np.uint64)
+        self.asked, self.now, self.taker = np.zeros(KEPT, np.int64), 0, np.empty(KEPT, np.int64)
+        # keys of the hashes whose parts make each draw's r, and of its own; how far each part is shifted
+        draw = self._draw = np.arange(samples)
+        self._eight = np.arange(8)[:, None]
+        self._whose = self.keys[np.stack([draw // 4, (draw + 2 * samples) // 4, draw])]
+        self._shift = (16 * np.stack([draw % 4, (draw + 2 * samples) % 4])).astype(np.uint64)
+        self._room = self._rooms(BLOCK)
+
+    def _rooms(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the hashes, their parts and their halves of n terms go."""
+        return np.empty((2, n, self.samples), np.uint64), np.empty((2, n, 2 * self.samples), np.float32), np.empty((2, n, self.samples), np.uint32)
+
+    def _hashes(self, words: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words, itertools.repeat(self.seed))), ">u8").astype(np.uint64)
+
+    def _ln_weights(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
         if self.inverse is not None:
-            weight *= self.inverse[np.array([zlib.crc32(w) for w in words], np.int64) % BUCKETS]
-        return h, np.log(weight).astype(np.float32)
+            times = times * self.inverse[np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BUCKETS]
+        return np.log(times).astype(np.float32)
 
     def draws(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """r, c and b of each term and draw."""
-        x = h[:, None] * self.keys
-        x ^= x >> np.uint64(32)
-        u = x.view(np.uint16).astype(np.float32)
+        """r, c and b of each term and draw; r and c of up to BLOCK terms stay until the next call."""
+        n, half = len(h), 2 * self.samples
+        (x, high), (u, v), (low32, high32) = (room[:, :n] for room in (self._room if n <= BLOCK else self._rooms(n)))
+        np.multiply(h[:, None], self.keys, out=x)
+        np.right_shift(x, np.uint64(32), out=high)
+        x ^= high
+        parts = x.view(np.uint16)
+        np.copyto(u, parts[:, :half])
+        np.copyto(v, parts[:, half:])
         u += np.float32(0.5)
-        half = 2 * self.samples
-        u = u[:, :half] * u[:, half:]
+        v += np.float32(0.5)
+        u *= v
         np.log(u, out=u)
         np.subtract(np.float32(32 * np.log(2)), u, out=u)
         # evenly spread whatever either half of a hash is, since the other one is
-        parts = x.view(np.uint32)
-        mixed = parts[:, ::2] * np.uint32(0x9E3779B1)
-        mixed += parts[:, 1::2]
-        b = mixed.astype(np.float32)
+        np.copyto(low32, x, casting="unsafe")
+        np.copyto(high32, high, casting="unsafe")
+        low32 *= np.uint32(0x9E3779B1)
+        low32 += high32
+        b = low32.astype(np.float32)
         b *= np.float32(2.0**-32)
         return u[:, : self.samples], u[:, self.samples :], b
 
-    def samples_of(self, terms: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word or (word, times) its hash, and for each draw ln c - r (1 + t - b) and t."""
-        h, ln_w = self._hashes(terms)
+    def samples_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word, had once, its hash, and for each draw ln c - r (1 + t - b) and t."""
+        h = self._hashes(words)
+        return h, *self._values(h, self._ln_weights(words, np.ones(len(words))))
+
+    def _values(self, h: np.ndarray, ln_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         r, c, b = self.draws(h)
         t = np.divide(ln_w[:, None], r)
         t += b
@@ -115,43 +137,93 @@ class Sampler:
         b *= r  # -r (1 + t - b)
         np.log(c, out=c)
         b += c
-        return h, b, t
+        return b, t
 
-    def _places(self, terms: list) -> np.ndarray:
-        """Rows of ``values`` that hold these terms, at most PART of them."""
-        get = self.place.get
-        at = np.array([get(t, -1) for t in terms], np.int64)
-        missing = np.flatnonzero(at < 0)
+    def _levels(self, h: np.ndarray, ln_w: np.ndarray) -> np.ndarray:
+        """t of one term for each text and draw, as ``samples_of`` has it: made again, as that takes less than to keep them."""
+        x = h[:, None] * self._whose
+        x ^= x >> np.uint64(32)
+        u = (x[:, :2] >> self._shift & np.uint64(0xFFFF)).astype(np.float32)
+        u += np.float32(0.5)
+        r = np.float32(32 * np.log(2)) - np.log(u[:, 0] * u[:, 1])
+        b = (x[:, 2].astype(np.uint32) * np.uint32(0x9E3779B1) + (x[:, 2] >> np.uint64(32)).astype(np.uint32)).astype(np.float32)
+        b *= np.float32(2.0**-32)
+        return np.floor(ln_w / r + b)
+
+    def _places(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
+        """Rows of ``values`` that hold these terms, at most PART of them; terms may repeat. They hold until the next call."""
+        h = self._hashes(words)
+        keys = h + (times - 1).astype(np.uint64) * _GOLDEN
+        at = (keys % np.uint64(KEPT)).astype(np.int64)
+        there = self.keys_in[at] == keys
+        self.now += 1
+        self.asked[at[there]] = self.now
+        missing = np.flatnonzero(~there)
         if len(missing):
-            if len(self.place) + len(missing) > KEPT:
-                self.place.clear()
-                missing = np.arange(len(terms))
-            # a few at a time: the numbers in between stay in the processor's cache
-            for start in range(0, len(missing), 192):
-                who = missing[start : start + 192]
-                some, first = [terms[k] for k in who.tolist()], len(self.place)
-                rows = slice(first, first + len(some))
-                self.hashes[rows], self.values[rows], self.levels[rows] = self.samples_of(some)
-                self.place.update(zip(some, range(first, first + len(some)), strict=True))
-                at[who] = np.arange(first, first + len(some))
+            new, rows, order = keys[missing], at[missing], np.arange(len(missing))
+            self.taker[rows] = order
+            taker = self.taker[rows]
+            fits = (new[taker] == new) & (self.asked[rows] < self.now)
+            made = np.flatnonzero(fits & (taker == order))
+            rows = rows[made]
+            self.keys_in[rows] = new[made]
+            if not fits.all():
+                rest = np.flatnonzero(~fits)
+                _, first, which = np.unique(new[rest], return_index=True, return_inverse=True)
+                at[missing[rest]] = KEPT + which
+                made, rows = np.append(made, rest[first]), np.append(rows, KEPT + np.arange(len(first)))
+            made = missing[made]
+            h, ln_w = h[made], self._ln_weights([words[k] for k in made.tolist()], times[made])
+            self.hashes[rows], self.ln_w[rows] = h, ln_w
+            for start in range(0, len(rows), BLOCK):
+                some = slice(start, start + BLOCK)
+                self.values[rows[some]] = self._values(h[some], ln_w[some])[0]
         return at
 
-    def marks(self, words: list[bytes]) -> np.ndarray:
-        """The samples of a text with these words, as 16-bit marks; 0 where there are none."""
-        terms = [w if n == 1 else (w, n) for w, n in Counter(words).items()]
-        best, mark = np.full(self.samples, np.inf, np.float32), np.zeros(self.samples, np.uint16)
-        for start in range(0, len(terms), PART):
-            at = self._places(terms[start : start + PART])
-            values = self.values[at]
-            least = values.argmin(axis=0)
-            low, at = values[least, self._draw], at[least]
-            new = low < best
-            # the pair of term and t that each draw picks, as a mark
-            level = self.levels[at, self._draw].astype(np.int64).astype(np.uint64)
-            own = _mixed(self.hashes[at] + level * _GOLDEN ^ self.step) >> np.uint64(48)
-            best, mark = np.where(new, low, best), np.where(new, np.maximum(own, 1), mark)
+    def _least(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The smallest value of each draw and its first row: by groups of eight rows, as argmin over all is slow this way round."""
+        n = len(values)
+        whole = n // 8 * 8
+        groups = values[:whole].reshape(-1, 8, self.samples).min(axis=1)
+        if whole < n:
+            groups = np.concatenate([groups, values[whole:].min(axis=0)[None]])
+        rows = np.minimum(8 * groups.argmin(axis=0) + self._eight, n - 1)
+        few = values[rows, self._draw]
+        one = few.argmin(axis=0)
+        return few[one, self._draw], rows[one, self._draw]
+
+    def marks_of(self, texts: list[list[bytes]]) -> np.ndarray:
+        """For each text, given as its words, its samples as 16-bit marks; 0 where there are no words."""
+        parts = []
+        for k, words in enumerate(texts):
+            counted = Counter(words)
+            words, times = list(counted), list(counted.values())
+            parts += [(k, words[start : start + PART], times[start : start + PART]) for start in range(0, len(words), PART)]
+        best = np.full((len(texts), self.samples), np.inf, np.float32)
+        h, ln_w = np.zeros(best.shape, np.uint64), np.zeros(best.shape, np.float32)
+        while parts:
+            # as many as can be looked at together
+            ends = list(itertools.accumulate(len(words) for _, words, _ in parts))
+            n = max(1, sum(end <= PART for end in ends))
+            some, parts = parts[:n], parts[n:]
+            places = self._places([w for _, words, _ in some for w in words], np.array([n for _, _, times in some for n in times], np.int64))
+            for (k, words, _), end in zip(some, ends, strict=False):
+                at = places[end - len(words) : end]
+                low, least = self._least(self.values[at])
+                at = at[least]
+                new = low < best[k]
+                if new.all():
+                    new = slice(None)
+                best[k, new], h[k, new], ln_w[k, new] = low[new], self.hashes[at[new]], self.ln_w[at[new]]
+        # the pair of term and t that each draw picks, as a mark
+        level = self._levels(h, ln_w).astype(np.int64).astype(np.uint64)
+        mark = np.maximum(_mixed(h + level * _GOLDEN ^ self.step) >> np.uint64(48), 1)
+        mark[np.isinf(best)] = 0
         return mark.astype(np.uint16)
 
+    def marks(self, words: list[bytes]) -> np.ndarray:
+        return self.marks_of([words])[0]
+
     def of(self, text: str | None) -> np.ndarray:
         return self.marks(split(text))
 
@@ -161,7 +233,7 @@ def as_hex(marks: np.ndarray) -> str:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    return float((a == b).mean())
+    return float(np.count_nonzero(a == b) / len(a))
 
 
 def edited(text: str, after: str) -> str:
@@ -255,16 +327,18 @@ def _compare(batches: Iterator[pa.RecordBatch], sampler: Sampler) -> Iterator[pa
 
     held = None  # (part, doc_id, text, marks) that waits for its next one
     rows = []
-    for batch in batches:
-        for k in range(batch.num_rows):
-            part, copy, doc_id, text = (batch.column(j)[k].as_py() for j in range(4))
+    # long texts: at most a few MB of Python objects at once
+    pieces = (piece for batch in batches for piece in slices(batch))
+    for piece in pieces:
+        for part, copy, doc_id, text in zip(*(c.to_pylist() for c in piece.columns), strict=True):
             if copy and (held is None or held[0] != part):
                 continue  # a further copy: the first has answered
-            new = sampler.of(text)
-            if held is not None and held[0] == part:
+            if held is None or held[0] != part:
+                new = sampler.of(text)
+            else:
                 _, own_id, own_text, own = held
                 mixed = edited(own_text, text)
-                other = sampler.of(mixed)
+                new, other = sampler.marks_of([split(text), split(mixed)])
                 rows.append((own_id, len(own_text), hashlib.sha256(mixed.encode("utf-8", "replace")).hexdigest(), as_hex(own), as_hex(other), likeness(own, other), likeness(own, new)))
                 if len(rows) >= 500:
                     yield made(rows)

@@ -100,3 +100,21 @@ def test_edges(spark):
     assert got["doc_id"] == "x" and got["fingerprint"] == "0" * 4 * FP.SAMPLES
     with pytest.raises(TypeError):
         FP.compare(spark.createDataFrame([("x", "t")], "doc_id string, text string"))
+
+
+def test_terms_that_come_again_are_kept_and_texts_go_together(monkeypatch):
+    drawn, plain = [], FP.Sampler.draws
+    monkeypatch.setattr(FP.Sampler, "draws", lambda self, h: drawn.append(len(h)) or plain(self, h))
+    words = [f"w{k}".encode() for k in range(30_000)]
+    texts = [words[k : k + 300] for k in range(0, len(words), 300)]
+    s = FP.Sampler()
+    first = [s.marks(t) for t in texts]
+    assert sum(drawn) == len(words)
+    again = [s.marks(t) for t in texts]
+    assert all((a == b).all() for a, b in zip(first, again, strict=True))
+    # all but those whose row another term has
+    assert sum(drawn) < 1.5 * len(words)
+    drawn.clear()
+    both = FP.Sampler().marks_of([texts[0], [], texts[0][100:] + texts[1][:100] * 2])
+    assert sum(drawn) == 400  # 300 terms, and 100 more that the last text has twice
+    assert (both[0] == first[0]).all() and not both[1].any() and (both[2] == FP.Sampler().marks(texts[0][100:] + texts[1][:100] * 2)).all()
