@@ -2,7 +2,8 @@
 
 An event is a row (source, instrument, ts, arrival, flags, one column a field); ``arrival`` orders events as they came. Per
 field and instrument, an event older than one that came before it is dropped, and of several with one ts the last to
-come counts. NULL in a field column means that the event doesn't carry the field; NaN is a received invalid value.
+come counts. Events of one arrival came in the order of ts, so that none is late against another, then of the field's value:
+the result depends on the events alone, not on the order in which rows are read. NULL in a field column means that the event doesn't carry the field; NaN is a received invalid value.
 """
 
 from __future__ import annotations
@@ -94,10 +95,10 @@ def admit(events: DataFrame, universe: DataFrame) -> DataFrame:
 
 def settle_events(events: DataFrame, fields: list[str]) -> DataFrame:
     """One row for each (instrument, ts): late values dropped, revisions settled, by field."""
-    before = Window.partitionBy("instrument").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("instrument").orderBy("arrival", "ts").rowsBetween(Window.unboundedPreceding, -1)
     seen = {f: F.max(F.when(F.col(f).isNotNull(), F.col("ts"))).over(before) for f in fields}
     fresh = events.select("instrument", "ts", "arrival", *[F.when(seen[f].isNull() | (F.col("ts") >= seen[f]), F.col(f)).alias(f) for f in fields])
-    last = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col("arrival"))).alias(f) for f in fields]
+    last = [F.max(F.when(F.col(f).isNotNull() & F.col("arrival").isNotNull(), F.struct("arrival", F.col(f).alias("value"))))["value"].alias(f) for f in fields]
     return fresh.groupBy("instrument", "ts").agg(*last).where(" or ".join(f"`{f}` is not null" for f in fields))
 
 
