@@ -117,7 +117,7 @@ def test_rejections(spark):
         P.check_payload(e.withColumn("bar__vwap", P.F.lit(1.0)), "bar")
 
 
-@pytest.mark.parametrize("name", ["source_forced_grid"])
+@pytest.mark.parametrize("name", ["source_forced_grid", "source_late_and_revised"])
 def test_ties_of_arrival_do_not_hang_on_the_order_of_rows(spark, tmp_path, name):
     """Event numbers 100,003 apart arrive together; the SQL leaves their order open, so it is held here with the order that settle_events states."""
     import duckdb
