@@ -159,12 +159,12 @@ def advance_grid(settled: DataFrame, universe: DataFrame, times: DataFrame, fiel
 def quality_flags(events: DataFrame, times: DataFrame, universe: DataFrame, forced: DataFrame | None = None) -> DataFrame:
     """(ts, instrument, quality_flags): flags of the events since the advance before, late ones included; FORCED where it was.
 
-    The advance that an event counts for is the next time of the grid: a carried-backward minimum over one ordered union.
+    The advance that an event counts for is the next time of the grid: the last one met in one union ordered backward.
     """
     grid = times.select("ts").distinct().crossJoin(universe.select("instrument").distinct())
     both = events.select("instrument", "ts", "flags", F.lit(None).cast(times.schema["ts"].dataType).alias("at")).unionByName(grid.select("instrument", "ts", F.lit(0).alias("flags"), F.col("ts").alias("at")))
-    w = Window.partitionBy("instrument").orderBy("ts", F.col("at").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    own = both.withColumn("at", F.first("at", ignorenulls=True).over(w)).where("at is not null").groupBy(F.col("at").alias("ts"), "instrument").agg(F.bit_or("flags").alias("quality_flags"))
+    w = Window.partitionBy("instrument").orderBy(F.desc("ts"), F.col("at").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, 0)  # backward: a frame to the end is rescanned for each row
+    own = both.withColumn("at", F.last("at", ignorenulls=True).over(w)).where("at is not null").groupBy(F.col("at").alias("ts"), "instrument").agg(F.bit_or("flags").alias("quality_flags"))
     if forced is None:
         return own
     return own.join(forced, "ts", "left").select("ts", "instrument", (F.col("quality_flags").bitwiseOR(F.when(F.col("forced"), FORCED).otherwise(0))).alias("quality_flags"))
