@@ -211,7 +211,7 @@ def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = P.settle_events(_arrivals(spark, sf_dir), ["bar__close"])
+    got = P.settle_events(_arrivals(spark, sf_dir), ["bar__close"], all_count=True)
     return got.select("ts", "instrument", F.col("bar__close").alias("value"))
 
 

@@ -93,12 +93,18 @@ def admit(events: DataFrame, universe: DataFrame) -> DataFrame:
     return events.join(universe.select("instrument").distinct(), "instrument", "left_semi")
 
 
-def settle_events(events: DataFrame, fields: list[str]) -> DataFrame:
-    """One row for each (instrument, ts): late values dropped, revisions settled, by field."""
-    before = Window.partitionBy("instrument").orderBy("arrival", "ts").rowsBetween(Window.unboundedPreceding, -1)
-    seen = {f: F.max(F.when(F.col(f).isNotNull(), F.col("ts"))).over(before) for f in fields}
-    fresh = events.select("instrument", "ts", "arrival", *[F.when(seen[f].isNull() | (F.col("ts") >= seen[f]), F.col(f)).alias(f) for f in fields])
+def settle_events(events: DataFrame, fields: list[str], all_count: bool = False) -> DataFrame:
+    """One row for each (instrument, ts): late values dropped, revisions settled, by field. Events without an arrival come last and settle nothing.
+
+    all_count: events with NULL in a field count for its order of times too, and their (instrument, ts) stays, with NULL where no value came.
+    """
+    before = Window.partitionBy("instrument").orderBy(F.asc_nulls_last("arrival"), "ts").rowsBetween(Window.unboundedPreceding, -1)
+    seen = {f: F.max(F.when(F.lit(all_count) | F.col(f).isNotNull(), F.col("ts"))).over(before) for f in fields}
+    on_time = {f: seen[f].isNull() | (F.col("ts") >= seen[f]) for f in fields}
+    fresh = events.select("instrument", "ts", "arrival", *[F.when(on_time[f], F.col(f)).alias(f) for f in fields], on_time[fields[0]].alias("on_time"))
     last = [F.max(F.when(F.col(f).isNotNull() & F.col("arrival").isNotNull(), F.struct("arrival", F.col(f).alias("value"))))["value"].alias(f) for f in fields]
+    if all_count:  # on_time is the same for every field
+        return fresh.where("on_time").groupBy("instrument", "ts").agg(*last)
     return fresh.groupBy("instrument", "ts").agg(*last).where(" or ".join(f"`{f}` is not null" for f in fields))
 
 

@@ -136,3 +136,19 @@ def test_ties_of_arrival_do_not_hang_on_the_order_of_rows(spark, tmp_path, name)
         columns = sorted(con.sql(sql).columns)
         got = sorted(map(repr, map(tuple, QUERIES[name](spark, d).select(*columns).collect())))
         assert got == sorted(map(repr, con.sql(f"select {', '.join(columns)} from ({sql})").fetchall()))
+
+
+def test_events_without_a_value_or_a_number_count_as_in_the_sql(spark, tmp_path):
+    """An event without a value makes older ones late and keeps its half day; one without a number comes last. No two of a user arrive together here."""
+    import duckdb
+
+    from factorloom.plans.queries import ORACLE_SQL, QUERIES
+
+    rows = [(None if k >= 57 else k, k * 5 % 19 * 43_200, k % 3, "view", None if k % 4 == 1 else float("nan") if k % 7 == 0 else float(k)) for k in range(60)]
+    e = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double")
+    e.selectExpr("event_id", "cast(timestamp_seconds(s) as timestamp_ntz) as ts", "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(map(repr, con.sql(f"select ts, instrument, value from ({ORACLE_SQL['source_late_and_revised']})").fetchall()))
+    got = sorted(map(repr, map(tuple, QUERIES["source_late_and_revised"](spark, str(tmp_path)).select("ts", "instrument", "value").collect())))
+    assert got == want and any(r.endswith("None)") for r in got)
